@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import canonical, topn
+from weftgraph.llm import canonical, encoding, topn
 from weftgraph.session import table
 
 
@@ -20,7 +22,15 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.strongest_edges(table(spark, sf, "edges"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found}
+#: Where the public tokenizers' files are; a parameter of the operators.
+TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p8_ids": p8_ids}
 _P4 = r"""
 WITH n AS (SELECT DISTINCT node_id, label FROM nodes WHERE label IS NOT NULL AND node_id IS NOT NULL),
 f AS (SELECT node_id, list_sort(list_filter(list_transform(string_split(replace(label, ';', '|'), '|'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g')), lambda x: x <> '')) AS f FROM n),
