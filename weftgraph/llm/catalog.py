@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import canonical, encoding, topn
+from weftgraph.llm import canonical, encoding, leakage, topn
 from weftgraph.session import table
 
 
@@ -30,15 +30,35 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p8_ids": p8_ids}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).filter("edits = 0").select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents hold each leaked item, word by word and with small edits."""
+    return _leaks(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("edits") == 0).alias("n_exact"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
 _P4 = r"""
 WITH n AS (SELECT DISTINCT node_id, label FROM nodes WHERE label IS NOT NULL AND node_id IS NOT NULL),
 f AS (SELECT node_id, list_sort(list_filter(list_transform(string_split(replace(label, ';', '|'), '|'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g')), lambda x: x <> '')) AS f FROM n),
 k AS (SELECT node_id, min(node_id) OVER (PARTITION BY f) AS keep_id FROM f WHERE len(f) > 0)
 """
+_P9 = r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM benchmark),
+iw AS (SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda k: list_slice(w, k, k + least(len(w), 13) - 1))) AS g FROM i WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: list_slice(w, k, k + n - 1))) AS g FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+"""
 SQL = {
     "p4_found": _P4 + "SELECT keep_id, node_id FROM k WHERE keep_id <> node_id",
     "p4_records": _P4 + "SELECT keep_id, count(*) AS n_copies FROM k GROUP BY 1",
+    "p9_found": _P9 + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)",
     "p6_found": """
 WITH v AS (SELECT * FROM edges WHERE source IS NOT NULL AND target IS NOT NULL AND isfinite(strength) AND isfinite(confidence) AND strength BETWEEN 0 AND 1 AND confidence BETWEEN 0 AND 1),
 i AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY source, target, relation ORDER BY strength DESC, confidence DESC, edge_id) = 1)
