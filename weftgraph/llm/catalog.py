@@ -6,10 +6,20 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import canonical, encoding, leakage, topn
+from weftgraph.llm import canonical, encoding, leakage, neighbours, topn
 from weftgraph.session import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.close_pairs(table(spark, sf, "node_embeddings"))
+
+
+def p1_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar nodes of every node whose id is divisible by 50."""
+    r = neighbours.similar(table(spark, sf, "node_embeddings"), 10, -1.0, 50, neighbours.Settings(probes=9, least_p=0.0))
+    return r.select("node_id", F.col("rank_no").cast("long").alias("rank_no"), "other", F.round("cosine", 4).alias("cosine"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.duplicates(canonical.collapse(table(spark, sf, "nodes").select("node_id", "label")))
 
@@ -43,7 +53,7 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("edits") == 0).alias("n_exact"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
 _P4 = r"""
 WITH n AS (SELECT DISTINCT node_id, label FROM nodes WHERE label IS NOT NULL AND node_id IS NOT NULL),
 f AS (SELECT node_id, list_sort(list_filter(list_transform(string_split(replace(label, ';', '|'), '|'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g')), lambda x: x <> '')) AS f FROM n),
