@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import canonical, encoding, leakage, neighbours, topn
+from weftgraph.llm import canonical, encoding, leakage, neighbours, sentences, topn
 from weftgraph.session import table
 
 
@@ -28,6 +28,10 @@ def p4_records(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.collapse(table(spark, sf, "nodes").select("node_id", "label")).filter("node_id = keep_id").select("keep_id", "n_copies")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, sf, "cnn_dailymail_train").select("id", "article"), "id", "article").select("id", "sent_start", "sent_end")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return topn.strongest_edges(table(spark, sf, "edges"))
 
@@ -53,7 +57,7 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("edits") == 0).alias("n_exact"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
 _P4 = r"""
 WITH n AS (SELECT DISTINCT node_id, label FROM nodes WHERE label IS NOT NULL AND node_id IS NOT NULL),
 f AS (SELECT node_id, list_sort(list_filter(list_transform(string_split(replace(label, ';', '|'), '|'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g')), lambda x: x <> '')) AS f FROM n),
