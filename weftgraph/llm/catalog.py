@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import canonical, encoding, language, leakage, neighbours, sentences, topn
+from weftgraph.llm import canonical, encoding, language, leakage, names, neighbours, sentences, topn
 from weftgraph.session import table
 
 
@@ -40,6 +40,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 TOKENIZERS = os.environ.get("WEFT_TOKENIZERS", "/opt/tokenizers")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.link(*[table(spark, sf, t) for t in ("nodes", "kg_build_results", "name_aliases")])
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -62,7 +66,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.wrong_labels(docs, language.label_segments(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 _P4 = r"""
 WITH n AS (SELECT DISTINCT node_id, label FROM nodes WHERE label IS NOT NULL AND node_id IS NOT NULL),
 f AS (SELECT node_id, list_sort(list_filter(list_transform(string_split(replace(label, ';', '|'), '|'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g')), lambda x: x <> '')) AS f FROM n),
