@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.llm import canonical, encoding, language, leakage, names, neighbours, sentences, topn
-from weftgraph.session import table
+from weftgraph.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    return language.wrong_labels(docs, language.label_segments(docs))
+    return language.wrong_labels(docs, cut(language.label_segments(docs)))
 
 
 QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
