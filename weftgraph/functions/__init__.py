@@ -24,9 +24,14 @@ def dequantize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / 127)
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"^[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]+|[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]+$", "")
+
+
 def uri_part(uri: Column, n: int) -> Column:
     """The n-th part of a path without outer slashes, underscores as spaces."""
-    return F.replace(F.element_at(F.split(F.trim(uri), "/"), n), F.lit("_"), F.lit(" "))
+    return F.replace(F.element_at(F.split(F.btrim(uri, F.lit("/")), "/"), n), F.lit("_"), F.lit(" "))
 
 
 def edge_key(src: Column, dst: Column, relation: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftgraph.functions import strip
+
 c = F.col
 # Scores of extraction levels and of ways of resolution.
 PATTERN_SCORE = {"svo": 0.95, "prep": 0.75, "conj": 0.45}
@@ -12,14 +14,14 @@ RESOLUTION_SCORE = {"exact": 1.0, "surface_form": 0.95, "embedding": 0.80, "grap
 
 def normalize_label(x: Column) -> Column:
     """Lower case, trimmed, without a possessive ending."""
-    s = F.trim(F.lower(x))
-    return F.trim(F.when(s.endswith("'s"), F.regexp_replace(s, "'s$", "")).when(s.endswith("s'"), F.regexp_replace(s, "'$", "")).otherwise(s))
+    s = strip(F.lower(x))
+    return strip(F.when(s.endswith("'s"), F.regexp_replace(s, "'s$", "")).when(s.endswith("s'"), F.regexp_replace(s, "'$", "")).otherwise(s))
 
 
 def once(triples: DataFrame) -> DataFrame:
     """Rows delivered twice once; triples without an end or relation, or from a thing to itself, left out."""
     t = triples.filter(c("triple_id").isNotNull()).groupBy("triple_id").agg(F.min(F.struct("source", "relation", "target", "pattern_level", "confidence", "doc_index")).alias("r")).select("triple_id", "r.*")
-    t = t.withColumns({"s": normalize_label(c("source")), "rel": F.trim(F.lower("relation")), "o": normalize_label(c("target"))})
+    t = t.withColumns({"s": normalize_label(c("source")), "rel": strip(F.lower(c("relation"))), "o": normalize_label(c("target"))})
     return t.filter("s <> '' and o <> '' and rel <> '' and s <> o")
 
 

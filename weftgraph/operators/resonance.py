@@ -93,6 +93,12 @@ def resonate(edges: DataFrame, seeds: DataFrame, p: Resonance = Resonance(), ini
     return act
 
 
+def with_seeds(act: DataFrame, seeds: DataFrame, p: Resonance = Resonance()) -> DataFrame:
+    """Activations with the seeds that the gate dropped, at the floor."""
+    lost = seeds.select("query_id", "node").distinct().join(act.select("query_id", "node"), ["query_id", "node"], "left_anti")
+    return act.unionByName(lost.select("query_id", "node", F.lit(p.floor).alias("activation")))
+
+
 def subgraph_edges(edges: DataFrame, act: DataFrame) -> DataFrame:
     """query_id, src, dst, relation, strength, confidence of edges whose ends are both active in a query, with their activations."""
     a = act.select("query_id", c("node").alias("src"), c("activation").alias("act_src"))
