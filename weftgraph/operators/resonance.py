@@ -86,7 +86,7 @@ def resonate(edges: DataFrame, seeds: DataFrame, p: Resonance = Resonance(), ini
     if initial is not None:
         act = act.unionByName(initial.select("query_id", "node", clamp(c("activation"), p.floor, p.ceiling).alias("activation")))
     act = cut(act.groupBy("query_id", "node").agg(F.max("activation").alias("activation")))
-    messages = message_edges(edges, p)
+    messages = cut(message_edges(edges, p))  # read by every step
     for _ in range(p.steps):
         small = act.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         act = cut(gate(normalize(step_dynamics(act, propagate(messages, act, small), p), p), p))

@@ -158,11 +158,10 @@ def cumulative_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def _walks(spark: SparkSession, sf: str, plan: list[int] = PLAN) -> DataFrame:
     """Walks from the best seed over all edges, turned ones too, with the nodes' own activations."""
-    n = W.nodes(spark, sf)
-    s = W.seeds(spark, sf)
-    reach = G.bfs(W.edges(spark, sf), n, s, 2, 0.3)
+    n, s, edges = W.nodes(spark, sf), cut(W.seeds(spark, sf)), cut(W.edges(spark, sf))
+    reach = G.bfs(edges, n, s, 2, 0.3)
     act = reach.join(n.select(c("node_id").alias("node"), "activation"), "node").select("query_id", "node", "activation")
-    sub = R.subgraph_edges(G.reverse_union(W.edges(spark, sf)), act)
+    sub = R.subgraph_edges(G.reverse_union(edges), act)
     return K.walk(sub, K.start_nodes(act, s), plan)
 
 
@@ -224,7 +223,7 @@ def graph_to_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer(spark: SparkSession, sf: str) -> DataFrame:
     """Seeds, activation, walk, text: the whole way for every query."""
-    edges, seeds = W.edges(spark, sf), W.seeds(spark, sf)
+    edges, seeds = cut(W.edges(spark, sf)), cut(W.seeds(spark, sf))  # each is read several times
     act = R.with_seeds(R.resonate(edges, seeds), seeds)
     sub = cut(R.subgraph_edges(G.reverse_union(edges), act))
     w = K.walk(sub, K.start_nodes(act, seeds), PLAN)
