@@ -285,7 +285,7 @@ def _label(model):
 
 def training_pairs(docs: DataFrame, w: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[str, str]]]:
     """Weights of the sentence splitter and (sentence, label) pairs, from a sample of labelled documents chosen by hash, as many of every language."""
-    d = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.trim("text") != "")).select("lang", F.substring("text", 1, 20_000).alias("text"), F.xxhash64("text").alias("h"))
+    d = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text").between(1, sentences.LONGEST_TRAINING))).select("lang", "text", F.xxhash64("text").alias("h"))
     per = TRAIN_DOCUMENTS // len(LANGS)
     from pyspark.sql import Window
 

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.codepoints import slices
 
-#: Articles the classifier is fitted on, at most.
+#: Articles the classifier is fitted on, at most, and the longest that may be among them (the sample must fit on the driver).
 TRAIN_ARTICLES = 2_000
+LONGEST_TRAINING = 20_000
 DIMS = 1 << 15
 # Abbreviations (lower case, without the last period) that stand before what they belong to.
 BEFORE_NAME = frozenset(
@@ -316,7 +317,7 @@ def spans(text: str, w: np.ndarray) -> list[tuple[int, int]]:
 
 def sample_texts(df: DataFrame, column: str, n: int = TRAIN_ARTICLES) -> list[str]:
     """At most ``n`` distinct texts, chosen by hash: the same for the same table."""
-    t = df.select(column).filter(F.col(column).isNotNull() & (F.trim(column) != "")).select(F.xxhash64(column).alias("h"), F.substring(column, 1, 20_000).alias("t"))
+    t = df.select(column).filter(F.col(column).isNotNull() & (F.trim(column) != "") & (F.length(column) <= LONGEST_TRAINING)).select(F.xxhash64(column).alias("h"), F.col(column).alias("t"))
     return [r.t for r in t.orderBy("h").limit(n + n // 10).dropDuplicates(["h"]).collect()][:n]
 
 
