@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from weftgraph.session import shuffle_partitions
+from weftgraph.session import cut, shuffle_partitions
 
 _STATE = ["n", "n_value", "sum_value", "min_value", "max_value", "first_order", "last_order"]
 
@@ -118,9 +118,8 @@ def balanced_profile(df: DataFrame, keys: Sequence[str], order: str, value: str,
     )
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    parts = spread.mapInArrow(_fold(keys, to_arrow_schema(schema)), schema)
-    # A state per partition end is stitched; an inner state stands alone, so its group has one member and
-    # the map-side step keeps it where it is: only ends travel.
+    # The states are few against the rows, and both halves below read them: written once, the rows are sorted once.
+    parts = cut(spread.mapInArrow(_fold(keys, to_arrow_schema(schema)), schema))
     inner = parts.filter(~F.col("edge_of_range")).select(*keys, *_STATE)
     ends = (
         parts.filter("edge_of_range")
