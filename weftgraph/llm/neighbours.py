@@ -25,13 +25,13 @@ class Settings:
     probes and least_p: parts searched beside a vector's own, at most, and how probable each must be.
     block: rows of one side in a search task at most."""
 
-    sample: int = 20_000
+    sample: int = 40_000
     part_rows: int = 1_500
-    max_parts: int = 1_024
-    probes: int = 2
-    least_p: float = 0.02
+    max_parts: int = 256
+    probes: int = 3
+    least_p: float = 0.05
     block: int = 40_000
-    hidden: int = 96
+    hidden: int = 128
     seed: int = 11
 
 
@@ -61,11 +61,11 @@ def neighbour_graph(v: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray]
     n = len(v)
     k = min(k, n - 1)
     near, score = np.zeros((n, k), dtype=np.int64), np.zeros((n, k), dtype=np.float32)
-    for a in range(0, n, 512):
-        s = v[a : a + 512] @ v.T
+    for a in range(0, n, 128):  # small blocks: the driver has little memory
+        s = v[a : a + 128] @ v.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
         top = np.argpartition(s, n - k, axis=1)[:, n - k :]
-        near[a : a + 512], score[a : a + 512] = top, np.take_along_axis(s, top, axis=1)
+        near[a : a + 128], score[a : a + 128] = top, np.take_along_axis(s, top, axis=1)
     return near, score
 
 
