@@ -221,7 +221,7 @@ def unit_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 #: What a change of language costs, in the scale of a sentence's weighted log-probabilities.
-SWITCH = 3.0
+SWITCH = 4.0
 
 
 def segments(spans: list[tuple[int, int]], probs: list[np.ndarray | None], weights: list[int]) -> list[tuple[int, int, str, float]]:
