@@ -59,6 +59,22 @@ def analogy_leaps(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("rank_no", F.row_number().over(w)).filter("rank_no <= 5").select("query_id", "seed", "node", "cosine", F.round("jaccard", 6).alias("jaccard"))
 
 
+def dataset_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A data set of triples put into the graph: ends are matched by label in any case, weights are the defaults, and keys that are there already stay out."""
+    t = table(spark, sf, "kg_build_results").select(F.lower("source").alias("s"), F.replace(F.lower("relation"), F.lit(" "), F.lit("_")).alias("relation"), F.lower("target").alias("o")).distinct()
+    n = table(spark, sf, "nodes").filter("label is not null").groupBy(F.lower("label").alias("key")).agg(F.min("node_id").alias("id"))
+    j = t.join(n.select(c("key").alias("s"), c("id").alias("src")), "s").join(n.select(c("key").alias("o"), c("id").alias("dst")), "o").filter("src <> dst and relation is not null")
+    new = j.select("src", "dst", "relation").distinct().join(W.edges(spark, sf).select("src", "dst", "relation"), ["src", "dst", "relation"], "left_anti")
+    return new.select("src", "dst", "relation", F.lit(0.9).alias("strength"), F.lit(0.8).alias("confidence"))
+
+
+def reward_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Running total of each user's rewards at its last event, and its largest step up."""
+    w = Window.partitionBy("context").orderBy("ts", "event_id")
+    x = W.log(spark, sf).withColumn("up", c("reward") - F.lag("reward").over(w))
+    return x.groupBy("context").agg(F.round(F.sum("reward"), 4).alias("total"), F.round(F.max("up"), 4).alias("largest_step"))
+
+
 def replay_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Thirty-two past experiences of each kind, drawn by hash."""
     h = F.md5(F.concat_ws(":", F.lit("7"), c("event_id").cast("string")))
@@ -134,7 +150,7 @@ def question_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    extracted_triples, sentence_chain, entity_alignment, relation_alignment, analogy_leaps, replay_sample, reward_ema, intent_bias_learning, pattern_nodes, mean_vectors, training_rows, intent_classifier, vector_clusters, es_propose, question_links,
+    extracted_triples, sentence_chain, entity_alignment, relation_alignment, analogy_leaps, dataset_edges, reward_totals, replay_sample, reward_ema, intent_bias_learning, pattern_nodes, mean_vectors, training_rows, intent_classifier, vector_clusters, es_propose, question_links,
 )}
 _SP = r"[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]+"
 
@@ -151,6 +167,9 @@ SQL = {
     "extracted_triples": sql(_SENT, _TR, "SELECT s, rel, o, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tu GROUP BY 1, 2, 3"),
     "sentence_chain": sql(_SENT, _TR, "q AS (SELECT rel, sent_idx, lag(rel) OVER w AS p, lag(sent_idx) OVER w AS i FROM tu WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx))", "SELECT rel, count(*) AS n FROM q WHERE p = rel AND sent_idx - i = 1 GROUP BY 1"),
     "entity_alignment": f"WITH r AS (SELECT lower(label) AS k, min(node_id) AS node_id FROM nodes WHERE label IS NOT NULL GROUP BY 1), l AS (SELECT source AS label FROM kg_build_results UNION SELECT target FROM kg_build_results) SELECT label, node_id FROM l JOIN r ON {_strip('lower(label)')} = k",
+    "dataset_edges": sql(E, "t AS (SELECT DISTINCT lower(source) AS s, replace(lower(relation), ' ', '_') AS relation, lower(target) AS o FROM kg_build_results)", "k AS (SELECT lower(label) AS k, min(node_id) AS id FROM nodes WHERE label IS NOT NULL GROUP BY 1)",
+        "j AS (SELECT DISTINCT x.id AS src, y.id AS dst, relation FROM t JOIN k x ON s = x.k JOIN k y ON o = y.k WHERE x.id <> y.id AND relation IS NOT NULL)", "SELECT src, dst, relation, CAST(0.9 AS DOUBLE) AS strength, CAST(0.8 AS DOUBLE) AS confidence FROM j ANTI JOIN e USING (src, dst, relation)"),
+    "reward_totals": sql(L, "x AS (SELECT context, reward, reward - lag(reward) OVER (PARTITION BY context ORDER BY ts, event_id) AS up FROM l)", "SELECT context, round(sum(reward), 4) AS total, round(max(up), 4) AS largest_step FROM x GROUP BY 1"),
     "replay_sample": "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) <= 32",
     "pattern_nodes": sql(L, "nx AS (SELECT *, lead(item) OVER (PARTITION BY context ORDER BY ts, event_id) AS nxt FROM l)", "g AS (SELECT least(item, nxt) AS a, greatest(item, nxt) AS b, count(*) AS n FROM nx WHERE nxt <> item GROUP BY 1, 2 HAVING count(*) >= 5 AND count(DISTINCT context) >= 5)",
         "p AS (SELECT 1152921504606846976 + row_number() OVER (ORDER BY n DESC, a, b) - 1 AS pattern_id, a, b FROM g)", "SELECT CAST(pattern_id AS BIGINT) AS pattern_id, unnest([a, b]) AS target, 'associated_with' AS relation, CAST(0.9 AS DOUBLE) AS strength, CAST(0.9 AS DOUBLE) AS confidence FROM p"),
