@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most similar nodes of every node whose id is divisible by 50."""
-    r = neighbours.similar(table(spark, sf, "node_embeddings"), 10, -1.0, 50, neighbours.Settings(probes=9, least_p=0.0))
+    r = neighbours.similar(table(spark, sf, "node_embeddings"), 10, -1.0, 50, neighbours.Settings(probes=19, least_p=0.0))
     return r.select("node_id", F.col("rank_no").cast("long").alias("rank_no"), "other", F.round("cosine", 4).alias("cosine"))
 
 
@@ -78,7 +78,13 @@ iw AS (SELECT item_id, least(len(w), 13) AS n, unnest(list_transform(range(1, le
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: list_slice(w, k, k + n - 1))) AS g FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
 """
+_P1 = """
+WITH l AS (SELECT node_id, coalesce(vector, embedding) AS v FROM node_embeddings WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY saved_at DESC NULLS LAST, emb_id DESC) = 1),
+w AS (SELECT node_id, CAST(v AS DOUBLE[64]) AS v FROM l WHERE len(v) = 64 AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR NOT isfinite(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+c AS (SELECT a.node_id AS node_id, b.node_id AS other, array_cosine_similarity(a.v, b.v) AS cosine FROM w a JOIN w b ON a.node_id <> b.node_id{0})
+"""
 SQL = {
+    "p1_found": _P1.format("") + "SELECT DISTINCT least(node_id, other) AS node_a, greatest(node_id, other) AS node_b FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY round(cosine, 9) DESC, other) <= 10) WHERE cosine >= 0.9",
     "p4_found": _P4 + "SELECT keep_id, node_id FROM k WHERE keep_id <> node_id",
     "p4_records": _P4 + "SELECT keep_id, count(*) AS n_copies FROM k GROUP BY 1",
     "p9_found": _P9 + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (n, g)",
