@@ -270,7 +270,35 @@ _PR = "pr AS (SELECT *, exp((score - max(score) OVER g) / 0.1) AS ex FROM sc WIN
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: {0}[i] * {1}[i]))"
 _EN = [*(E, N, S, A, _RB, _M, _S0), *_step(1), """es AS (SELECT x.query_id, sum(x.activation * strength * confidence) AS en FROM e JOIN t1 x ON src = x.node JOIN t1 y ON dst = y.node AND x.query_id = y.query_id GROUP BY 1)""",
     "ea AS (SELECT query_id, sum(activation) AS tot FROM t1 GROUP BY 1)", "en AS (SELECT query_id, coalesce(en, tot) AS energy FROM ea LEFT JOIN es USING (query_id))"]
+_RV = """r AS (SELECT dst AS src, src AS dst, relation, strength, confidence FROM e UNION ALL SELECT src, dst, relation, strength, confidence FROM e x
+ WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.dst = x.src AND y.src = x.dst AND y.relation = x.relation))"""
+_REACH = """h AS (SELECT DISTINCT a.node, a.other FROM a JOIN n ON a.other = n.node_id WHERE n.activation >= 0.3),
+ f0 AS (SELECT query_id, node FROM s JOIN n ON node = node_id WHERE activation >= 0.3), f1 AS (SELECT DISTINCT query_id, other AS node FROM f0 JOIN h USING (node)), f2 AS (SELECT DISTINCT query_id, other AS node FROM f1 JOIN h USING (node)),
+ ac AS (SELECT query_id, node, activation FROM (SELECT * FROM f0 UNION SELECT * FROM f1 UNION SELECT * FROM f2) JOIN n ON node = node_id)"""
+_WSUB = "ws AS (SELECT x.query_id, src, dst, relation, strength, confidence, y.activation AS ad FROM r JOIN ac x ON src = x.node JOIN ac y ON dst = y.node AND x.query_id = y.query_id)"
+_W0 = """w0 AS (SELECT query_id, [node] AS path, CAST([] AS VARCHAR[]) AS rels, [activation] AS acts, CAST([] AS DOUBLE[]) AS confs FROM ac JOIN s USING (query_id, node)
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(activation, 12) DESC, node) = 1)"""
+
+
+def _walk_sql(steps: int) -> list[str]:
+    out = [E, N, S, A, _IB, _RV, _REACH, _WSUB, _W0]
+    for k in range(steps):
+        i = PLAN[min(k, len(PLAN) - 1)]
+        out += [
+            f"""m{k} AS (SELECT w.query_id, list_append(path, dst) AS path, list_append(rels, ws.relation) AS rels, list_append(acts, ad) AS acts, list_append(confs, confidence) AS confs FROM w{k} w JOIN ws ON w.query_id = ws.query_id AND path[-1] = src
+ LEFT JOIN ib ON intent = {i} AND ib.relation = ws.relation WHERE len(rels) = {k} AND NOT list_contains(path, dst) AND ad >= 0.01
+ QUALIFY row_number() OVER (PARTITION BY w.query_id ORDER BY round(strength * confidence * ad * coalesce(b, {INTENT_BIAS[i]['default']}), 12) DESC, dst, ws.relation) = 1)""",
+            f"w{k + 1} AS (SELECT * FROM m{k} UNION ALL SELECT * FROM w{k} WHERE query_id NOT IN (SELECT query_id FROM m{k}))",
+        ]
+    return out
+
+
+_STEPS = "st AS (SELECT query_id, unnest(range(0, len(rels))) AS t, path, rels, acts FROM w5), su AS (SELECT query_id, t, path[t + 1] AS src, path[t + 2] AS dst, rels[t + 1] AS relation, acts[t + 1] AS act_src FROM st)"
 SQL = {
+    "walk_argmax": sql(*_walk_sql(5), "SELECT query_id, array_to_string(path, '>') AS path, array_to_string(rels, '>') AS relations, round(CASE WHEN len(confs) = 0 THEN 1.0 WHEN list_min(confs) <= 0 THEN 0.0 ELSE exp(list_avg(list_transform(confs, lambda x: ln(nullif(x, 0))))) END, 6) AS walk_confidence, CAST(len(rels) AS INTEGER) AS n_steps FROM w5"),
+    "eligibility_trace": sql(*_walk_sql(5), _STEPS, "SELECT query_id, src, dst, relation, round(sum(power(0.9, t) * act_src * strength * confidence), 6) AS eligibility FROM su JOIN r USING (src, dst, relation) GROUP BY 1, 2, 3, 4"),
+    "fallback_text": sql(*_walk_sql(5), "lo AS (SELECT query_id, unnest(range(1, len(path) + 1)) AS i, path, rels FROM w5)", "la AS (SELECT query_id, i, coalesce(label, 'node_' || path[i]) || coalesce(' ' || replace(rels[i], '_', ' '), '') AS x FROM lo LEFT JOIN n ON node_id = path[i])",
+        "SELECT query_id, array_to_string(string_split(string_agg(x, ' ' ORDER BY i), ' ')[1:200], ' ') AS text FROM la GROUP BY 1"),
     "vector_topk": sql(W.V, Q, "r AS (SELECT query_id, v.node, round(list_cosine_similarity(v.v, q.v), 6) AS cosine FROM v, q)", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, node) AS rank_no, node, cosine FROM r QUALIFY rank_no <= 10"),
     "similarity_subgraph": sql(E, A, W.V, Q, "r AS (SELECT query_id, v.node, round(list_cosine_similarity(v.v, q.v), 6) AS cosine FROM v, q)", "p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, node) <= 5)",
         "SELECT query_id, node, least(greatest(cosine, 0.01), 1.0) AS activation, true AS is_hit FROM p UNION ALL SELECT DISTINCT query_id, other, 0.01, false FROM p JOIN a USING (node) WHERE (query_id, other) NOT IN (SELECT (query_id, node) FROM p)"),
