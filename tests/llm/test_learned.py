@@ -172,3 +172,14 @@ def test_variants_link_to_one_entity(spark):
     assert got == want
     assert names.link(n.limit(0), t, al).count() == 0
     assert names.link(n, t.limit(0), al).count() == len([w for w in want if w[1] == "node"])
+
+
+def test_two_edits_are_found_whatever_the_given_name_and_the_ends_of_the_key(spark):
+    aliases = spark.createDataFrame([("Bran", "Branertin", "given"), ("Hal", "Halomir", "given"), ("Fdn", "Foundation", "org_word")], "short_form string, full_form string, alias_kind string")
+    labels = ["Branertin Nojivfohud", "Halomir Kozumtevar", "Halomir Terosaphum", "Lumifohudak Foundation"]
+    nodes = spark.createDataFrame([(10 + i, x, "Entity") for i, x in enumerate([*labels, *[y for x in labels for y in (x.upper(), x.replace(" ", "_"))]])], "node_id long, label string, node_type string")
+    # one typo that makes a 'ph', and that with another; two edits at both ends; two in a bare family name; one that breaks a 'ph'; an organisation's
+    typed = {1: "Branertin Nojivfphud", 2: "Branertin Nojirfphud", 3: "Halomir Gozumtevas", 4: "Nojivfo", 5: "Mojivfohut", 6: "Halomir Terosapum", 7: "Halomir Derosaghum", 8: "Fdn. Rumifohudat", 9: "Halomir Rodenvasil"}
+    triples = spark.createDataFrame([(i, x, None) for i, x in typed.items()], "triple_id long, source string, target string")
+    got = {tuple(r) for r in names.link(nodes, triples, aliases).filter("ref_kind = 'source'").collect()}
+    assert got == {(10, "source", 1), (10, "source", 2), (11, "source", 3), (10, "source", 5), (12, "source", 6), (12, "source", 7), (13, "source", 8)}

@@ -38,7 +38,12 @@ def fold(s: str) -> str:
 
 def sound(key: str) -> str:
     """A key with letters that are heard alike written alike."""
-    return key.replace("ph", "f").replace("y", "i").replace("c", "k")
+    return plain(key).replace("ph", "f")
+
+
+def plain(key: str) -> str:
+    """As ``sound``, but with 'ph' left alone: one typo that makes or breaks a 'ph' is one edit here, and two there."""
+    return key.replace("y", "i").replace("c", "k")
 
 
 def within(a: str, b: str, k: int) -> int:
@@ -129,7 +134,7 @@ class Lexicon:
         return len(w) == 1 or w in self.alias or (3 <= len(w) <= 7 and (w in self.starts or self.base(w) in self.starts or w in self.tails))
 
     def read(self, name: str) -> tuple[str, str, list[str], list[str]] | None:
-        """(kind 'p' or 'o', key, given names in order, organisation words), or None if there is no key."""
+        """(kind 'p' or 'o', key with 'ph' left alone, given names in order, organisation words), or None if there is no key."""
         words = TOKEN.findall(fold(name))
         words = [w for w in words if w not in TITLES or len(words) == 1]
         words = [x for w in words for x in ((w[:-2], "of") if w.endswith("of") and w[:-2] in self.org else (w,))]
@@ -145,7 +150,7 @@ class Lexicon:
         if org:
             rest = [w for w in spelled if w not in self.org and w not in EMPTY]
             key = "".join(rest)
-            return ("o", sound(key), [], sorted(set(org))) if key else None
+            return ("o", plain(key), [], sorted(set(org))) if key else None
         given: list[str] = []
         rest = []
         for w in words:
@@ -175,7 +180,7 @@ class Lexicon:
                 given = [words[i - 1], *given]
                 rest.remove(words[i - 1])
         key = "".join(rest)
-        return ("p", sound(key), given[:2], []) if key else None
+        return ("p", plain(key), given[:2], []) if key else None
 
     def forms(self, full: str) -> list[tuple[str, int]]:
         """(short form, rank) that may stand for a full given name: 0 itself, 1 listed, 2 by its build, 3 the initial."""
@@ -193,13 +198,13 @@ def _read(lexicon):
         x = lexicon.value
         for b in batches:
             got = [x.read(s) for s in b.column("name").to_pylist()]
-            keep = pa.array([g is not None and 4 <= len(g[1]) for g in got])
-            rows = [g for g in got if g is not None and 4 <= len(g[1])]
+            keep = pa.array([g is not None and 4 <= len(sound(g[1])) for g in got])
+            rows = [g for g in got if g is not None and 4 <= len(sound(g[1]))]
             first = [g[2][0] if g[2] else "" for g in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column("name").filter(keep), b.column("is_entity").filter(keep), pa.array([g[0] for g in rows], pa.string()), pa.array([g[1] for g in rows], pa.string()), pa.array(first, pa.string()), pa.array([" ".join(g[3]) for g in rows], pa.string()),
+                [b.column("name").filter(keep), b.column("is_entity").filter(keep), pa.array([g[0] for g in rows], pa.string()), pa.array([sound(g[1]) for g in rows], pa.string()), pa.array([g[1] for g in rows], pa.string()), pa.array(first, pa.string()), pa.array([" ".join(g[3]) for g in rows], pa.string()),
                  pa.array([f if f in x.given else "" for f in first], pa.string())],
-                names=["name", "is_entity", "kind", "key", "first", "words", "full"],
+                names=["name", "is_entity", "kind", "key", "plain", "first", "words", "full"],
             )
 
     return run
@@ -296,19 +301,27 @@ def lexicon(names: DataFrame, aliases: DataFrame) -> Lexicon:
     return Lexicon(listed, {fold(r.t): r.n for r in rows if not r.is_org}, {fold(r.t) for r in rows if r.is_org})
 
 
+def related(records: DataFrame) -> DataFrame:
+    """kind, a, b, dist: keys of a kind within two edits of each other, of which one is an entity's, whatever given names stand beside them.
+
+    Edits are counted between the sounds of keys and, where one of them has a 'ph', between the keys with 'ph' left alone too.
+    """
+    part = lambda tag, key, where: records.filter(where).select(F.concat("kind", F.lit(tag)).alias("grp"), F.col(key).alias("key"))
+    ph = c("plain").contains("ph")
+    # keys with a 'ph' are few, so it is they that probe, entities' keys among the others' too
+    keys = part("s", "key", F.lit(True)).unionByName(part("1", "plain", ph)).unionByName(part("2", "plain", ph & c("is_entity")))
+    targets = part("s", "key", c("is_entity")).unionByName(part("1", "plain", c("is_entity"))).unionByName(part("2", "plain", ~ph))
+    near = segment_join(keys, targets, 1, 6).unionByName(segment_join(keys, targets, 2, 8))
+    bare = lambda x: F.replace(x, F.lit("ph"), F.lit("f"))
+    near = near.select(F.substring("grp", 1, 1).alias("kind"), bare(c("a")).alias("a"), bare(c("b")).alias("b"), "dist").filter("a <> b")
+    return near.groupBy("kind", "a", "b").agg(F.min("dist").alias("dist"))
+
+
 def roots(records: DataFrame) -> DataFrame:
     """kind, key, root: each key's best-supported relative, followed to the end."""
     keys = records.groupBy("kind", "key").agg(F.countDistinct("name").alias("support"))
     keys = cut(keys)
-    plain = records.select(F.col("kind").alias("grp"), "key", "is_entity")
-    near1 = segment_join(plain, plain.filter("is_entity"), 1, 6).select(F.col("grp").alias("kind"), "a", "b", "dist")
-    # Two edits are looked for only among keys that begin or end alike and, of persons, whose given names begin alike.
-    told = records.filter("kind = 'o' or first <> ''")
-    initial = F.when(c("kind") == "o", F.lit("")).otherwise(F.substring(F.ltrim(F.lit("?"), c("first")), 1, 1))
-    ends = F.array(F.concat("kind", initial, F.lit("^"), F.substring("key", 1, 1)), F.concat("kind", initial, F.lit("$"), F.substring("key", -1, 1)))
-    told = told.select(F.explode(ends).alias("grp"), "key", "is_entity")
-    near2 = segment_join(told, told.filter("is_entity"), 2, 8).select(F.substring("grp", 1, 1).alias("kind"), "a", "b", "dist").filter("dist = 2").distinct()
-    near = near1.unionByName(near2)
+    near = related(records)
     both = near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "dist")).distinct()
     ka, kb = keys.select("kind", F.col("key").alias("a"), F.col("support").alias("sa")), keys.select("kind", F.col("key").alias("b"), F.col("support").alias("sb"))
     up = both.join(ka, ["kind", "a"]).join(kb, ["kind", "b"]).filter("(sb > sa or (sb = sa and b < a)) and (dist <= 1 or sa <= 2)")
@@ -352,7 +365,7 @@ def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, entity: for ``names`` (name, is_entity; distinct), the entity key of each name that can be read as one."""
     spark = names.sparkSession
     lex = spark.sparkContext.broadcast(lexicon(names.filter("is_entity").select("name"), aliases))
-    records = cut(names.mapInArrow(_read(lex), "name string, is_entity boolean, kind string, key string, first string, words string, full string"))
+    records = cut(names.mapInArrow(_read(lex), "name string, is_entity boolean, kind string, key string, plain string, first string, words string, full string"))
     root = roots(records)
     r = cut(records.join(root, ["kind", "key"]))
     orgs = r.filter("kind = 'o'").select("name", F.concat(F.lit("o|"), "root").alias("entity"))
