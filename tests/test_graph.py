@@ -1,8 +1,10 @@
+import math
 import random
 
+import numpy as np
 import pytest
 
-from weftgraph.operators import graph as G
+from weftgraph.operators import graph as G, vectors as V
 
 E = "src long, dst long, relation string, strength double, confidence double, frequency long, last_used double"
 
@@ -71,3 +73,24 @@ def test_new_ids_are_dense_and_ordered(spark):
     got = sorted((r.label, r.node_id) for r in G.new_ids(labels, known).collect())
     assert got == [(f"n{i:03d}", 8 + i) for i in range(50)]
     assert G.new_ids(labels.limit(0), known).count() == 0
+
+
+def test_near_duplicates_are_paired_and_merged(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    v[7] = 0
+    v[9] = v[30] * 2
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [1.0]), (98, None)], "node long, v array<double>")
+    n = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if n[a] @ n[b] >= 0.92}
+    for block, piece in ((8192, 512), (17, 5)):
+        monkeypatch.setattr(V, "BLOCK", block)
+        monkeypatch.setattr(V, "SLICE", piece)
+        rows = [(r.a, r.b) for r in V.near_pairs(df, 0.92, 4).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    assert (9, 30) in want
+    chain = spark.createDataFrame([(i, [math.cos(t), math.sin(t)]) for i, t in ((1, 0.0), (2, 0.3), (3, 0.6), (4, 2.0))], "node long, v array<double>")
+    m = G.components(V.near_pairs(chain, 0.92, 2))
+    assert {tuple(r) for r in m.collect()} == {(1, 1), (2, 1), (3, 1)}
+    got = G.remap(edges(spark, [(3, 4, "is_a", 0.5, 0.5), (1, 4, "is_a", 0.7, 0.4), (2, 3, "is_a", 0.5, 0.5)]), m)
+    assert [(r.src, r.dst, r.strength, r.confidence, r.frequency) for r in got.collect()] == [(1, 4, 0.7, 0.5, 2)]

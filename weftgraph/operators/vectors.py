@@ -1,4 +1,4 @@
-"""Vectors of nodes: ranking, near duplicates, statistics. Products are blocks of a matrix product in Arrow batches."""
+"""Vectors of nodes: ranking, near duplicates, buckets. Products are blocks of a matrix product in Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 c = F.col
 #: Query vectors that are sent to every executor at most; more are taken in parts.
 QUERIES_AT_ONCE = 4096
+#: Rows of a block of near_pairs, and of a block's slice whose products are held at once.
+BLOCK, SLICE = 8192, 512
 
 
 def rank_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
@@ -47,6 +49,37 @@ def rank_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, dim: int) ->
     return out.withColumn("rank_no", F.row_number().over(w)).filter(c("rank_no") <= k)
 
 
+def near_pairs(vectors: DataFrame, least: float, dim: int) -> DataFrame:
+    """a, b, cosine: all pairs a < b of vectors (node, v; a node once) whose cosine is at least ``least`` > 0.
+
+    Exact: every block of vectors is multiplied with every other one, so the work grows with the square of their number. Vectors
+    of another size than ``dim``, and zeros, are near nothing.
+    """
+    v = vectors.filter((F.size("v") == dim) & c("node").isNotNull()).select(c("node").cast("long").alias("node"), c("v").cast("array<double>").alias("v"))
+    n = max(1, -(-v.count() // BLOCK))
+    g = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    dealt = v.withColumn("g", g).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("g", "k").alias("i"), F.greatest("g", "k").alias("j"), "g", "node", "v")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        x = np.asarray(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        node, left = t.column("node").to_numpy(), t.column("g").to_numpy() == i
+        right = left if i == j else ~left
+        (p, xp), (q, xq) = (node[left], x[left]), (node[right], x[right])
+        found = []
+        for at in range(0, len(p), SLICE):
+            s = xp[at : at + SLICE] @ xq.T
+            r, o = np.nonzero(s >= least)
+            found.append((p[at + r], q[o], s[r, o]))
+        a, b, s = (np.concatenate(y) for y in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        keep = a < b if i == j else a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": s[keep]})
+
+    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, cosine double")
+
+
 def sign_buckets(vectors: DataFrame, dim: int, tables: int = 8, planes: int = 16, seed: int = 42) -> DataFrame:
     """node, tab, bucket: signs of products with fixed random planes, one bucket a table."""
     p = np.random.RandomState(seed).randn(tables, planes, dim)
