@@ -64,6 +64,19 @@ def test_ingest_and_versions(spark, tmp_path):
     assert [r.label for r in S.load_graph(spark, out, "nodes").collect()] == ["z"]
 
 
+def test_ingest_of_text(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("A cat is an animal. The storm caused a flood! Nothing here\n\nA cat is an animal.\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps(x) for x in ({"article": "A cat is an animal. The storm caused a flood."}, {"sentence": "a cat is an animal"}, {"head": "storm", "relation": "causes", "tail": "rain"})))
+    for name, more in (("a.txt", set()), ("b.jsonl", {("storm", "causes", "rain", 1)})):
+        out = str(tmp_path / f"graph_{name}")
+        S.ingest(spark, str(tmp_path / name), out)
+        n = {r.node_id: r.label for r in S.load_graph(spark, out, "nodes").collect()}
+        got = {(n[r.src], r.relation, n[r.dst], r.frequency) for r in S.load_graph(spark, out, "edges").collect()}
+        assert got == {("a cat", "is", "animal", 2), ("the storm", "caused", "a flood", 1)} | more
+        v = {r.node_id: r.v for r in S.load_graph(spark, out, "embeddings").collect()}
+        assert v.keys() == n.keys() and all(abs(sum(y * y for y in x) - 1) < 1e-5 for x in v.values())
+
+
 def test_feedback_stream_learns_once(spark, tmp_path):
     graph = str(tmp_path / "g")
     edges = spark.createDataFrame([(1, 2, "is_a", 0.5, 0.5), (2, 3, "is_a", 0.5, 0.5)], "src long, dst long, relation string, strength double, confidence double")

@@ -184,14 +184,18 @@ def load_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, out: str) -> None:
-    """File to graph: triples are counted, scored and numbered, and the tables saved."""
-    from weftgraph.operators import graph, kg
-
-    rows = read_any(spark, path).filter("kind = 'triple'")
+    """File to graph: triples, given or found in sentences and documents by patterns, are counted, scored and numbered, and the node, edge and embedding tables saved."""
+    from weftgraph.functions import encoder
+    from weftgraph.operators import extract, graph, kg
+
+    rows = read_any(spark, path)
+    told = extract.triples(extract.sentences(rows.filter("kind <> 'triple'").select(c("ord").alias("doc_id"), "text")))
+    told = told.select(F.xxhash64("s", "rel", "o", "doc_id", "sent_idx").alias("triple_id"), c("s").alias("source"), c("rel").alias("relation"), c("o").alias("target"), F.lit("svo").alias("pattern_level"), F.lit(None).cast("double").alias("confidence"), c("doc_id").alias("doc_index"))
+    rows = rows.filter("kind = 'triple'")
     t = rows.select(F.xxhash64("h", "r", "t", "ord").alias("triple_id"), c("h").alias("source"), c("r").alias("relation"), c("t").alias("target"), F.lit("svo").alias("pattern_level"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("doc_index"))
-    edges = kg.scored_edges(kg.once(t))
+    edges = kg.scored_edges(kg.once(t.unionByName(told)))
     labels = edges.select(F.explode(F.array("s", "o")).alias("label"))
     nodes = graph.new_ids(labels, spark.createDataFrame([], "node_id long, label string"))
     ids = nodes.select(c("label").alias("s"), c("node_id").alias("src")), nodes.select(c("label").alias("o"), c("node_id").alias("dst"))
     linked = edges.join(ids[0], "s").join(ids[1], "o").select("src", "dst", c("rel").alias("relation"), "strength", "confidence", c("freq").alias("frequency"))
-    save_graph(out, nodes=nodes, edges=linked)
+    save_graph(out, nodes=nodes, edges=linked, embeddings=encoder.with_vectors(nodes.select("node_id", "label"), "label").select("node_id", "v"))
