@@ -122,3 +122,17 @@ def test_vector_ranking_against_numpy(spark):
     got = [r.node for r in vectors.rank_by_cosine(d, q, 5, 8).filter("query_id = 0").orderBy("rank_no").collect()]
     s = v @ v[3] / np.linalg.norm(v, axis=1) / np.linalg.norm(v[3])
     assert got == list(np.argsort(-s)[:5])
+
+
+def test_nodes_of_a_walk_that_its_text_mentions(spark):
+    rows = [("A red CAT is a pet", ["Cat", "dog", "PET", None, "red cat"], [1, 2, 3, 4, 5]), ("none", ["Cat"], [1]), (None, ["Cat"], [1])]
+    df = spark.createDataFrame(rows, "text string, labels array<string>, path array<long>")
+    assert [r.m or [] for r in df.select(decode.mentioned(F.col("text"), F.col("labels"), F.col("path")).alias("m")).collect()] == [[1, 3, 5], [], []]
+    import __spark_entry__
+
+    q = __spark_entry__.queries()
+    texts = {r.query_id: r for r in q["answer"](spark, "/root/testdata/sf0.001").collect()}
+    got = {}
+    for r in q["walk_mentions"](spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.query_id, []).append(r.node)
+    assert {k: len(v) for k, v in got.items()} == {k: n for k, r in texts.items() if (n := sum(x.lower() in r.text.lower() for x in r.path_labels.split(" > ")))}

@@ -34,6 +34,12 @@ def _fill(template: str, labels: Column, relations: Column) -> Column:
     return out
 
 
+def mentioned(text: Column, labels: Column, path: Column) -> Column:
+    """Nodes of the path, in its order, whose label stands in the text, in any case."""
+    both = F.filter(F.arrays_zip(path.alias("node"), labels.alias("label")), lambda x: F.contains(F.lower(text), F.lower(x["label"])))
+    return F.transform(both, lambda x: x["node"])
+
+
 def render(intents: Column, labels: Column, relations: Column) -> Column:
     """The first template with exactly these intents whose places the walk fills, else null."""
     return F.coalesce(*[F.when(intents == F.array(*[F.lit(i) for i in k]), _fill(t, labels, relations)) for k, t in TEMPLATES], F.lit(None).cast("string"))

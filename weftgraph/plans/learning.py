@@ -181,7 +181,7 @@ def output_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nodes_mentioned(spark: SparkSession, sf: str) -> DataFrame:
-    """How often each relation word is mentioned in documents."""
+    """How often each relation word is mentioned in documents; ``walk_mentions`` has the nodes that a walk's text mentions."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z_]+"), lambda w: w != ""))
     d = table(spark, sf, "documents").filter("text is not null").select(F.explode(words).alias("relation"))
     r = W.edges(spark, sf).select("relation").distinct()

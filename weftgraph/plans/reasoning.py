@@ -234,23 +234,35 @@ def graph_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", t.alias("t")))), lambda x: x["t"]), " ").alias("text"))
 
 
-def answer(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeds, activation, walk, text: the whole way for every query."""
+def _walk_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Walks with path, labels and text; the edges that they go along; activations."""
     edges, seeds = cut(W.edges(spark, sf)), cut(W.seeds(spark, sf))  # each is read several times
     act = R.with_seeds(R.resonate(edges, seeds), seeds)
     near = G.inside(edges, act.select(c("node").alias("node_id")).distinct())  # before the edges are turned: far fewer rows
     sub = cut(R.subgraph_edges(G.reverse_union(near), act))
     w = K.walk(sub, K.start_nodes(act, seeds), PLAN)
     n = W.nodes(spark, sf).select(c("node_id").alias("node"), "label")
-    long = w.select("query_id", "relations", "confidences", F.posexplode("path").alias("i", "node")).join(n, "node", "left")
+    long = w.select("query_id", "path", "relations", "confidences", F.posexplode("path").alias("i", "node")).join(n, "node", "left")
     label = F.coalesce("label", F.concat(F.lit("node_"), c("node").cast("string")))
-    got = long.groupBy("query_id", "relations", "confidences").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", label.alias("label")))), lambda x: x["label"]).alias("labels"))
-    return got.join(R.energy(sub, act), "query_id").select("query_id", F.array_join("labels", " > ").alias("path_labels"), F.round(K.walk_confidence(c("confidences")), 6).alias("walk_confidence"), F.round("energy", 5).alias("energy"), D.fallback_text(c("labels"), c("relations")).alias("text"))
+    got = long.groupBy("query_id", "path", "relations", "confidences").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", label.alias("label")))), lambda x: x["label"]).alias("labels"))
+    return got.withColumn("text", D.fallback_text(c("labels"), c("relations"))), sub, act
+
+
+def answer(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds, activation, walk, text: the whole way for every query."""
+    got, sub, act = _walk_texts(spark, sf)
+    return got.join(R.energy(sub, act), "query_id").select("query_id", F.array_join("labels", " > ").alias("path_labels"), F.round(K.walk_confidence(c("confidences")), 6).alias("walk_confidence"), F.round("energy", 5).alias("energy"), "text")
+
+
+def walk_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of each query's walk whose labels its text mentions."""
+    got, _, _ = _walk_texts(spark, sf)
+    return got.select("query_id", F.explode(D.mentioned(c("text"), c("labels"), c("path"))).alias("node"))
 
 
 QUERIES = {f.__name__: f for f in (
     vector_topk, similarity_subgraph, near_dup_pairs, near_dup_components, embedding_stats, quantize_roundtrip, lsh_candidates, temporal_factor, propagate_step, dynamics_variants, normalize_variants, gate_topk, gate_threshold, resonance_k2, resonance_full,
-    activation_energy, tier_decision, tier_two, intent_bias_lookup, candidate_scores, softmax_probs, rank_probs, cumulative_sample, walk_argmax, walk_confidence, eligibility_trace, rule_planner, beam_plan, fallback_text, template_text, graph_to_text, answer,
+    activation_energy, tier_decision, tier_two, intent_bias_lookup, candidate_scores, softmax_probs, rank_probs, cumulative_sample, walk_argmax, walk_confidence, eligibility_trace, rule_planner, beam_plan, fallback_text, template_text, graph_to_text, answer, walk_mentions,
 )}
 
 _RB = "rb AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in RELATION_BIAS.items()) + ") AS t(relation, rb))"
