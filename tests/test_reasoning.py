@@ -136,3 +136,13 @@ def test_nodes_of_a_walk_that_its_text_mentions(spark):
     for r in q["walk_mentions"](spark, "/root/testdata/sf0.001").collect():
         got.setdefault(r.query_id, []).append(r.node)
     assert {k: len(v) for k, v in got.items()} == {k: n for k, r in texts.items() if (n := sum(x.lower() in r.text.lower() for x in r.path_labels.split(" > ")))}
+
+
+def test_all_labels_go_to_uris_and_back(spark, tmp_path):
+    from weftgraph.plans import learning as plans
+
+    labels = ["Red Cat", "a/b_c%2F d", "/x/", " Élan-7 ", "東京", "", "_", "a%5f", None]
+    spark.createDataFrame([(i, x, "Entity", 0.5) for i, x in enumerate(labels)], "node_id long, label string, node_type string, activation double").write.parquet(str(tmp_path / "nodes.parquet"))
+    rows = plans.label_uris(spark, str(tmp_path)).collect()
+    assert {r.node_id: r.label for r in rows} == {i: x.lower() for i, x in enumerate(labels) if x is not None}
+    assert all(r.uri.count("/") == 3 and " " not in r.uri and r.lang == "en" for r in rows) and len({r.uri for r in rows}) == len(rows)

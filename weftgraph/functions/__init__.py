@@ -34,6 +34,22 @@ def uri_part(uri: Column, n: int) -> Column:
     return F.replace(F.element_at(F.split(F.btrim(uri, F.lit("/")), "/"), n), F.lit("_"), F.lit(" "))
 
 
+def label_uri(lang: Column, label: Column) -> Column:
+    """/c/lang/label in lower case, spaces as underscores; slashes, underscores and per cent signs of the label are escaped."""
+    x = F.lower(label)
+    for a in "%/_":
+        x = F.replace(x, F.lit(a), F.lit(f"%{ord(a):02X}"))
+    return F.concat(F.lit("/c/"), lang, F.lit("/"), F.replace(x, F.lit(" "), F.lit("_")))
+
+
+def uri_label(uri: Column) -> Column:
+    """The label, in lower case, of a URI that ``label_uri`` made."""
+    x = F.replace(F.element_at(F.split(uri, "/"), 4), F.lit("_"), F.lit(" "))
+    for a in "_/%":
+        x = F.replace(x, F.lit(f"%{ord(a):02X}"), F.lit(a))
+    return x
+
+
 def edge_key(src: Column, dst: Column, relation: Column) -> Column:
     return F.concat_ws(":", src.cast("string"), dst.cast("string"), relation)
 

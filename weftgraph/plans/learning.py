@@ -167,12 +167,18 @@ def qa_substring_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_initial_uri(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes as URIs and back: language and label parts."""
+    """Nodes as URIs and back: language and label parts, of labels of plain letters and spaces only; ``label_uris`` takes all."""
     u = F.concat(F.lit("/c/en/"), F.replace(F.lower("label"), F.lit(" "), F.lit("_")))
     n = W.nodes(spark, sf).filter("label rlike '^[A-Za-z ]+$'").select("node_id", u.alias("uri"))
     return n.select("node_id", X.uri_part(c("uri"), 2).alias("lang"), X.uri_part(c("uri"), 3).alias("label"))
 
 
+def label_uris(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes with a label as URIs and back. No SQL: engines differ in the lower case of some scripts."""
+    n = W.nodes(spark, sf).filter("label is not null").select("node_id", X.label_uri(F.lit("en"), c("label")).alias("uri"))
+    return n.select("node_id", "uri", X.uri_part(c("uri"), 2).alias("lang"), X.uri_label(c("uri")).alias("label"))
+
+
 def output_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as answers: how many of a kind pass the checks against the words that answers must mention."""
     d = table(spark, sf, "documents").filter("text is not null")
@@ -197,7 +203,7 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     eligibility_learning, hebbian_update, global_decay, coactivation_pairs, frequent_sequences, markov_next, contradictions, low_confidence_edges, audit_report, weak_entities, reward_minmax, adaptive_threshold, internal_reward,
-    effective_reward, label_normalize, triple_frequency, kg_edges_scored, score_stats, cross_sentence_chain, distinct_triples, relation_clusters, kg_build_stats, confusion_matrix, per_class_prf, qa_substring_accuracy, label_initial_uri,
+    effective_reward, label_normalize, triple_frequency, kg_edges_scored, score_stats, cross_sentence_chain, distinct_triples, relation_clusters, kg_build_stats, confusion_matrix, per_class_prf, qa_substring_accuracy, label_initial_uri, label_uris,
     output_validation, nodes_mentioned, event_windows,
 )}
 _P = Learning()
