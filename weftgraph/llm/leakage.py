@@ -1,10 +1,10 @@
 """Evaluation passages inside corpus documents, whole or in part, with small edits.
 
-Texts become streams of folded words with one space between (and around). Shared character q-grams of a document and
-all items are found through a sorted index; those on one diagonal that follow each other are kept as a run (start,
-count), and the runs of overlapping diagonal bands are summed. By the q-gram lemma, a window of w characters
-with at most e edits shares at least w + 1 - q (e + 1) q-grams within a band of e diagonals, so only regions with so many
-are verified, by banded alignment of each of the item's windows.
+Texts become streams of folded words with one space between (and around). By the q-gram lemma, a window of w characters with at most e
+edits shares at least w + 1 - q (e + 1) of its q-grams with its copy, within a band of e diagonals to either side; q is chosen for
+each window so that this is at least 1. Of e + 1 disjoint q-grams one is always left whole, so every window is looked up by its e + 1
+disjoint q-grams that are rarest among the items: a stem that many items share is hardly ever looked up. In the bands around the places found all shared
+q-grams are counted, regions that meet the bound are kept, and those are verified by banded alignment.
 """
 
 from __future__ import annotations
@@ -16,219 +16,246 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.codepoints import Table, decode, fold_word_char, rolling, slices
+from weftgraph.llm.codepoints import Table, fold_word_char, slices
 
 #: Consecutive words of an item that make a leak.
 WORDS = 13
-Q = 20
+#: Lengths of q-grams; a window has the longest that its lemma allows.
+LADDER = (20, 12, 8, 5, 3)
+#: A window may have an edit for each so many of its characters (a word of a few letters is one edit away from too many others).
+CHARS_PER_EDIT = 10
 #: The items' index is sent to every executor up to so many characters at once; more items go in several passes.
 ITEM_CHARS = 4_000_000
+#: Candidates looked at together.
+TOGETHER = 200_000
 FOLD = Table(fold_word_char)
+BITS = 22
+SPREAD = np.uint32(0x9E3779B1)
+BASE = np.uint32(0x85EBCA6B)
 
 
 def word_streams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(folded characters, starts): each text as ' w1 w2 ... wn ', texts without words as nothing."""
-    cps, starts = decode(col)
-    n = len(starts) - 1
-    f = np.concatenate([FOLD(cps), [0]]).astype(np.uint32)
-    row = np.repeat(np.arange(n), np.diff(starts))
-    word = f[:-1] > 0
-    first = np.zeros(len(cps), dtype=bool)
-    first[starts[:-1][np.diff(starts) > 0]] = True
-    before = np.concatenate([[False], word[:-1]]) & ~first
-    opens = word & ~before  # a space goes before each word's first character
-    kept = np.flatnonzero(word)
-    if not len(kept):
-        return np.zeros(0, dtype=np.uint32), np.zeros(n + 1, dtype=np.int64)
-    r = row[kept]
-    last = np.append(r[1:] != r[:-1], True)
-    width = 1 + opens[kept] + last
-    at = np.cumsum(width) - width + opens[kept]
-    out = np.full(int(width.sum()), 32, dtype=np.uint32)
-    out[at] = f[kept]
-    size = np.bincount(r, weights=width, minlength=n).astype(np.int64)
-    return out, np.concatenate([[0], np.cumsum(size)])
+    """(folded characters, starts): each text as ' w1 w2 ... wn ', texts without words as one space."""
+    texts = [x or "" for x in col.to_pylist()]
+    if not texts:
+        return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    f = FOLD(np.frombuffer(("\0" + "\0\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    lead = np.cumsum([0, *(len(x) + 2 for x in texts)], dtype=np.int64)
+    keep = f > 0
+    keep[1:] |= keep[:-1].copy()  # the first sign behind a word is the space behind it
+    keep[lead[:-1]] = True
+    at = np.flatnonzero(keep)
+    out = f[at]
+    out[out == 0] = 32
+    return out, np.searchsorted(at, lead)
+
+
+def roll32(chars: np.ndarray, q: int) -> np.ndarray:
+    """Polynomial hashes of all windows of q characters, modulo 2 ** 32; equal windows have equal hashes, the reverse is verified."""
+    n = len(chars) - q + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint32)
+    part, width, done = chars.astype(np.uint32), 1, 0
+    h = np.zeros(n, dtype=np.uint32)
+    power = lambda k: np.uint32(pow(int(BASE), k, 1 << 32))
+    while width <= q:  # doubling: hashes of 2 ** k characters joined as q's binary digits ask
+        if q & width:
+            h *= power(width)
+            h += part[done : done + n]
+            done += width
+        if width * 2 <= q:
+            part = part[:-width] * power(width) + part[width:]
+        width *= 2
+    return h
+
+
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h * SPREAD) >> np.uint32(32 - BITS)
+
+
+@dataclass
+class Grams:
+    """The lookups of all windows with one q: distinct hashes, sorted, and of each its (item position, window) entries."""
+
+    q: int
+    hashes: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+    win: np.ndarray
+    of_items: np.ndarray  # hashes of all item positions
+
+    def seen(self) -> np.ndarray:
+        """A table by slot of which hashes may be looked up."""
+        t = np.zeros(1 << BITS, dtype=bool)
+        t[slot(self.hashes)] = True
+        return t
 
 
 @dataclass
 class ItemIndex:
-    """q-grams of a block of items, sorted by hash, and the windows that count as leaks."""
+    """Streams and windows of a block of items, and the windows' lookups."""
 
     ids: np.ndarray
     chars: np.ndarray
-    starts: np.ndarray
-    hashes: np.ndarray  # distinct, sorted
-    first: np.ndarray  # of each hash, its first place in at
-    at: np.ndarray  # stream positions of the q-grams
-    item_of: np.ndarray  # of each stream position
-    win_start: np.ndarray
-    win_size: np.ndarray
-    win_from: np.ndarray  # of each item, its first window
-    words: int
-
-
-def build_index(items: list[tuple[int, str]], words: int = WORDS) -> ItemIndex:
+    item: np.ndarray  # of each window
+    start: np.ndarray
+    size: np.ndarray
+    budget: np.ndarray  # edits
+    grams: list[Grams]
+
+
+def disjoint(cost: np.ndarray, q: int, n: int) -> list[int]:
+    """Positions of n q-grams that don't overlap, of least total cost."""
+    rows = [cost]
+    for _ in range(n - 1):
+        low = np.minimum.accumulate(rows[-1])
+        nxt = np.full(len(cost), np.inf)
+        nxt[q:] = cost[q:] + low[:-q]
+        rows.append(nxt)
+    out = [int(np.argmin(rows[-1]))]
+    for k in range(n - 2, -1, -1):
+        out.append(int(np.argmin(rows[k][: out[-1] - q + 1])))
+    return out
+
+
+def build_index(items: list[tuple[int, str]], edits: int, words: int = WORDS) -> ItemIndex:
     """Items without a word take no part."""
     items = [x for x in items if x[0] is not None and x[1]]
     chars, starts = word_streams(pa.array([t for _, t in items], pa.string()))
-    item_of = np.repeat(np.arange(len(items)), np.diff(starts))
-    h = rolling(chars, Q)
-    ok = item_of[: len(h)] == item_of[Q - 1 : Q - 1 + len(h)] if len(h) else np.zeros(0, dtype=bool)
-    at = np.flatnonzero(ok)
-    order = at[np.argsort(h[at], kind="stable")]
-    hashes, first = np.unique(h[order], return_index=True)
-    ws, wl, wf = [], [], [0]
+    it, ws, wl = ([np.zeros(0, dtype=np.int64)] for _ in range(3))
     for k in range(len(items)):
-        a, b = starts[k], starts[k + 1]
-        spaces = a + np.flatnonzero(chars[a:b] == 32)
+        spaces = starts[k] + np.flatnonzero(chars[starts[k] : starts[k + 1]] == 32)
         n = min(words, len(spaces) - 1)
         if n > 0:
+            it.append(np.full(len(spaces) - n, k))
             ws.append(spaces[:-n])
             wl.append(spaces[n:] - spaces[:-n] + 1)
-        wf.append(wf[-1] + (len(ws[-1]) if n > 0 else 0))
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-    return ItemIndex(np.array([i for i, _ in items], dtype=np.int64), chars, starts, hashes, np.append(first, len(order)), order, item_of, cat(ws), cat(wl), np.array(wf), words)
+    item, start, size = np.concatenate(it), np.concatenate(ws), np.concatenate(wl)
+    budget = np.minimum(edits, size // CHARS_PER_EDIT)
+    longest = np.maximum(LADDER[-1], size // (budget + 1))
+    q_of = np.array([next((q for q in LADDER if q <= n), LADDER[-1]) for n in longest.tolist()], dtype=np.int64)
+    own = np.repeat(np.arange(len(items)), np.diff(starts))
+    grams = []
+    for q in sorted(set(q_of.tolist()), reverse=True):
+        h = roll32(chars, q)
+        inside = own[: len(h)] == own[q - 1 : q - 1 + len(h)]
+        values, back, many = np.unique(np.where(inside, h, np.uint32(0)), return_inverse=True, return_counts=True)
+        cost = many[back] + h / 2.0**33  # of equally rare q-grams the same everywhere
+        at, win = [], []
+        for w in np.flatnonzero(q_of == q).tolist():
+            got = disjoint(cost[start[w] : start[w] + size[w] - q + 1], q, int(budget[w]) + 1)
+            at += [int(start[w]) + g for g in got]
+            win += [w] * len(got)
+        at, win = np.array(at, dtype=np.int64), np.array(win, dtype=np.int64)
+        order = np.argsort(h[at], kind="stable")
+        at, win = at[order], win[order]
+        hashes, first = np.unique(h[at], return_index=True)
+        grams.append(Grams(q, hashes, np.append(first, len(at)), at, win, h))
+    return ItemIndex(np.array([i for i, _ in items], dtype=np.int64), chars, item, start, size, budget, grams)
+
+
+def _shared(x: ItemIndex, g: Grams, h: np.ndarray, place: np.ndarray, win: np.ndarray, edits: int) -> np.ndarray:
+    """How many of each window's q-grams stand in the document within ``edits`` diagonals of a place."""
+    count = np.zeros(len(win), dtype=np.int64)
+    many = x.size[win] - g.q + 1
+    order = np.argsort(many, kind="stable")
+    at = 0
+    while at < len(order):
+        wide = int(many[order[min(len(order), at + 2_000) - 1]])
+        rows = order[at : at + 2_000]
+        j = np.arange(wide)
+        mine = g.of_items[np.minimum(x.start[win[rows]][:, None] + j, len(g.of_items) - 1)]
+        hit = np.zeros(mine.shape, dtype=bool)
+        for d in range(-edits, edits + 1):
+            hit |= h[np.clip(place[rows][:, None] + (j + d), 0, len(h) - 1)] == mine
+        hit &= j < many[rows][:, None]
+        count[rows] = hit.sum(axis=1)
+        at += len(rows)
+    return count
 
 
-def _runs(x: ItemIndex, chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document row, item, item position, document position, shared q-grams) of all runs on one diagonal.
+def _align(x: ItemIndex, chars: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, win: np.ndarray, edits: int, back: bool = False, stop: int = 1 << 40) -> np.ndarray:
+    """Least edits of each window against the document within ``edits`` diagonals of a place; edits + 1 means more.
 
-    Documents and items begin and end with a space and are laid out with nothing between, so a border check is needed for runs.
+    From the front, or from the back; ``stop`` ends after so many characters with what they cost at least. Pairs that can't come under the bound leave early.
     """
-    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    h = rolling(chars, Q)
-    if not len(h) or not len(x.hashes):
-        return none
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    k = np.minimum(np.searchsorted(x.hashes, h), len(x.hashes) - 1)
-    hit = np.flatnonzero((x.hashes[k] == h) & (doc[: len(h)] == doc[Q - 1 : Q - 1 + len(h)]))
-    if not len(hit):
-        return none
-    k = k[hit]
-    many = x.first[k + 1] - x.first[k]
-    begin, end = [], []
-    # the hits are made in parts of bounded size
-    total = np.cumsum(many)
-    part = np.searchsorted(total, np.arange(0, total[-1], 2_000_000), side="right")
-    dpad, ipad = np.concatenate([chars, [0]]), np.concatenate([x.chars, [0]])
-    dstart, istart = starts[:-1][doc], x.starts[:-1][x.item_of]
-    dend, iend = starts[1:][doc], x.starts[1:][x.item_of]
-    for a, b in zip(part, [*part[1:], len(hit)]):
-        m = many[a:b]
-        if not len(m):
-            continue
-        p = np.repeat(hit[a:b], m)
-        r = x.at[np.repeat(x.first[k[a:b]], m) + np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m)]
-        opens = (dpad[p - 1] != ipad[r - 1]) | (p == dstart[p]) | (r == istart[r])
-        ends = (dpad[p + Q] != ipad[np.minimum(r + Q, len(x.chars))]) | (p + Q >= dend[p]) | (r + Q >= iend[r])
-        begin.append(np.stack([p[opens], r[opens]]))
-        end.append(np.stack([p[ends], r[ends]]))
-    b, e = np.concatenate(begin, axis=1), np.concatenate(end, axis=1)
-
-    def ordered(y: np.ndarray) -> np.ndarray:
-        return y[:, np.lexsort((y[0], y[0] - y[1]))]
-
-    # on a diagonal of the two layouts, starts and ends of runs take turns
-    b, e = ordered(b), ordered(e)
-    p, r = b
-    return doc[p], x.item_of[r], r, p, e[0] - p + 1
-
-
-def _regions(x: ItemIndex, runs: tuple[np.ndarray, ...], edits: int) -> np.ndarray:
-    """Indices of runs that, with the runs of an overlapping band near them, may hold a window with so many edits."""
-    doc, item, r, p, count = runs
-    if not len(doc):
-        return np.zeros(0, dtype=np.int64)
-    need_item = np.full(len(x.ids), 1 << 40)
-    size_item = np.zeros(len(x.ids), dtype=np.int64)
-    it = np.repeat(np.arange(len(x.ids)), np.diff(x.win_from))
-    np.minimum.at(need_item, it, np.maximum(1, x.win_size + 1 - Q * (edits + 1)))
-    np.maximum.at(size_item, it, x.win_size)
-    if edits == 0:
-        return np.flatnonzero(count >= need_item[item])
-    wide = 8  # diagonals of a band beside the overlap of e
-    d = p - r + len(x.chars)
-    band = d // wide
-    low = (d % wide) < edits
-    who = np.concatenate([np.arange(len(d)), np.flatnonzero(low)])
-    in_band = np.concatenate([band, band[low] - 1])
-    order = np.lexsort((p[who], in_band, item[who], doc[who]))
-    who, in_band = who[order], in_band[order]
-    new = np.concatenate([[True], (doc[who][1:] != doc[who][:-1]) | (item[who][1:] != item[who][:-1]) | (in_band[1:] != in_band[:-1])])
-    group = np.cumsum(new) - 1
-    # sum of the counts of the runs that begin within the window's reach, of the same group
-    reach = p[who] + size_item[item[who]] + edits
-    far = int(p.max()) + int(size_item.max()) + edits + 2
-    stop = np.searchsorted(group * far + p[who], group * far + reach, side="right")
-    total = np.concatenate([[0], np.cumsum(count[who])])
-    enough = (total[stop] - total[np.arange(len(who))]) >= need_item[item[who]]
-    grow = np.zeros(len(who) + 1, dtype=np.int64)
-    np.add.at(grow, np.flatnonzero(enough), 1)
-    np.add.at(grow, stop[enough], -1)
-    return np.unique(who[np.cumsum(grow[:-1]) > 0])
-
-
-def _align(x: ItemIndex, chars: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, win: np.ndarray, edits: int) -> np.ndarray:
-    """Least edits of each (document place, item window), within ``edits`` diagonals of the place; edits + 1 means more."""
-    band = np.arange(-edits, edits + 1)
-    n, big = len(win), edits + 1
-    size = x.win_size[win]
-    # cost[j]: the window's first i characters against the document up to start + i + band[j]; any start in the band is free
-    cost = np.zeros((n, len(band)), dtype=np.int64)
-    done = np.full(n, big)
-    for i in range(int(size.max()) if n else 0):
-        at = start[:, None] + i + band[None, :]
-        ok = (at >= lo[:, None]) & (at < hi[:, None])
-        same = np.where(ok, chars[np.clip(at, 0, len(chars) - 1)], 0) == x.chars[np.minimum(x.win_start[win] + i, len(x.chars) - 1)][:, None]
-        new = cost + np.where(same & ok, 0, 1)
-        new = np.where(ok, new, big)
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # the window's character is missing in the document
-        for j in range(1, len(band)):  # a character of the document is extra
-            new[:, j] = np.minimum(new[:, j], new[:, j - 1] + 1)
+    band, big = np.arange(-edits, edits + 1), edits + 1
+    size, start = x.size[win], x.start[win]
+    out = np.full(len(win), big)
+    who = np.arange(len(win))
+    cost = np.zeros((len(win), len(band)), dtype=np.int16)
+    for i in range(min(stop, int(size.max()) if len(win) else 0)):
+        step = size[who] - 1 - i if back else np.full(len(who), i)
+        at = (place[who] + step)[:, None] + band
+        ok = (at >= lo[who][:, None]) & (at < hi[who][:, None])
+        same = chars[np.clip(at, 0, len(chars) - 1)] == x.chars[start[who] + step][:, None]
+        new = np.where(ok, cost + ~same, np.int16(big))
+        a, b = (new[:, ::-1], cost[:, ::-1]) if back else (new, cost)
+        a[:, :-1] = np.minimum(a[:, :-1], b[:, 1:] + 1)  # the window's character is missing in the document
+        for k in range(1, len(band)):  # a character of the document is extra
+            a[:, k] = np.minimum(a[:, k], a[:, k - 1] + 1)
         cost = np.minimum(new, big)
-        ended = size == i + 1
-        done[ended] = cost[ended].min(axis=1)
-    return done
-
-
-def leaks_of(x: ItemIndex, chars: np.ndarray, starts: np.ndarray, edits: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, item number, first and last document place, least edits) of every document row and item with a leaked window."""
-    runs = _runs(x, chars, starts)
-    doc, item, r, p, count = runs
-    near = _regions(x, runs, edits)
-    # every window that a run of a region touches, at the run's diagonal
-    a = x.win_from[item[near]]
-    pairs: list[np.ndarray] = []
-    for k, run in enumerate(near.tolist()):
-        w = np.arange(a[k], x.win_from[item[run] + 1])
-        s, z = x.win_start[w], x.win_size[w]
-        shared = np.minimum(r[run] + count[run] + Q - 1, s + z) - np.maximum(r[run], s)
-        need = np.maximum(Q, (z - edits) // (edits + 1))  # the longest piece without an edit is at least so long
-        w = w[shared >= need]
-        if len(w):
-            pairs.append(np.stack([np.full(len(w), run), w]))
-    if not pairs:
-        return []
-    run, win = np.concatenate(pairs, axis=1)
-    place = p[run] - r[run] + x.win_start[win]
-    cost = _align(x, chars, starts[doc[run]], starts[doc[run] + 1], place, win, edits)
-    good = cost <= edits
-    best: dict[tuple[int, int], list[int]] = {}
-    for d, i, s, z, c in zip(doc[run][good].tolist(), item[run][good].tolist(), place[good].tolist(), x.win_size[win][good].tolist(), cost[good].tolist()):
-        o = best.setdefault((d, i), [s, s + z, c])
-        o[:] = [min(o[0], s), max(o[1], s + z), min(o[2], c)]
-    return [(d, i, s - int(starts[d]), t - int(starts[d]), c) for (d, i), (s, t, c) in best.items()]
-
-
-def _scan(index, edits: int):
+        low = cost.min(axis=1)
+        ended = (size[who] == i + 1) | (i + 1 == stop)
+        out[who[ended]] = low[ended]
+        stay = ~ended & (low <= edits)
+        if i % 4 == 3 or ended.any():
+            who, cost = who[stay], cost[stay]
+        if not len(who):
+            break
+    return out
+
+
+def leaks_of(x: ItemIndex, seen: list[np.ndarray], chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Columns (row, item number, first and last document place, least edits) of every document row and item with a leaked window."""
+    found = [np.zeros((5, 0), dtype=np.int64)]
+    for g, table in zip(x.grams, seen):
+        h = roll32(chars, g.q)
+        p = np.flatnonzero(table[slot(h)])
+        k = np.minimum(np.searchsorted(g.hashes, h[p]), len(g.hashes) - 1)
+        right = g.hashes[k] == h[p]
+        p, k = p[right], k[right]
+        many = g.first[k + 1] - g.first[k]
+        total = np.cumsum(many)
+        at = 0
+        while at < len(p):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER, side="right")))
+            m = many[at:to]
+            e = np.repeat(g.first[k[at:to]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            here = np.repeat(p[at:to], m)
+            at = to
+            win = g.win[e]
+            place = here - g.at[e] + x.start[win]
+            row = np.searchsorted(starts, here, side="right") - 1
+            fits = (place >= starts[row] - x.budget[win]) & (place + x.size[win] <= starts[row + 1] + x.budget[win])
+            _, one = np.unique(win[fits] * (len(chars) + 1) + place[fits], return_index=True)
+            win, place, row = win[fits][one], place[fits][one], row[fits][one]
+            for edits in np.unique(x.budget[win]).tolist():
+                of = np.flatnonzero(x.budget[win] == edits)
+                w, s, r = win[of], place[of], row[of]
+                near = _align(x, chars, starts[r], starts[r + 1], s, w, edits, True, 8) <= edits  # what differs at the end leaves first
+                w, s, r = w[near], s[near], r[near]
+                near = _shared(x, g, h, s, w, edits) >= x.size[w] + 1 - g.q * (edits + 1)
+                w, s, r = w[near], s[near], r[near]
+                cost = _align(x, chars, starts[r], starts[r + 1], s, w, edits)
+                good = cost <= edits
+                found.append(np.stack([r, x.item[w], s - starts[r], s - starts[r] + x.size[w], cost])[:, good])
+    rows = np.concatenate(found, axis=1)
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    if not rows.shape[1]:
+        return rows
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]))
+    return np.stack([rows[0, first], rows[1, first], np.minimum.reduceat(rows[2], first), np.maximum.reduceat(rows[3], first), np.minimum.reduceat(rows[4], first)])
+
+
+def _scan(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
+        seen = [g.seen() for g in x.grams]
         for batch in batches:
-            for b in slices(batch, "text", 400_000):
-                chars, starts = word_streams(b.column("text"))
-                found = leaks_of(x, chars, starts, edits)
-                if found:
-                    row, item, s, t, c = (np.array(v, dtype=np.int64) for v in zip(*found))
+            for b in slices(batch, "text", 800_000):
+                row, item, s, t, c = leaks_of(x, seen, *word_streams(b.column("text")))
+                if len(row):
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(x.ids[item]), pa.array(s), pa.array(t), pa.array(c)], names=["doc_id", "item_id", "place", "place_end", "edits"])
 
     return run
@@ -237,8 +264,8 @@ def _scan(index, edits: int):
 def leaked(docs: DataFrame, items: DataFrame, edits: int = 1, words: int = WORDS) -> DataFrame:
     """doc_id, item_id, place, place_end, edits: documents with a window of ``words`` words of an item (all of a shorter one).
 
-    ``edits`` is the most character edits a window may have; the column has the least found, 0 for a word-by-word
-    copy. Places count characters of the folded word stream. Null, blank and wordless texts match nothing; documents of one id are reported together;
+    ``edits`` is the most character edits a window may have (and at most one for each CHARS_PER_EDIT of its characters, so that short words match
+    exactly); the column has the least found, 0 for a word-by-word copy. Places count characters of the folded word stream. Null, blank and wordless texts match nothing; documents of one id are reported together;
     items are read in blocks of ITEM_CHARS characters, each a pass over the documents, so the index never outgrows an executor.
     """
     spark = docs.sparkSession
@@ -250,7 +277,7 @@ def leaked(docs: DataFrame, items: DataFrame, edits: int = 1, words: int = WORDS
     out = None
     for k in range(blocks):
         rows = i.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).distinct().collect() if chars else []
-        index = spark.sparkContext.broadcast(build_index(sorted((r.item_id, r.text) for r in rows), words))
-        part = d.mapInArrow(_scan(index, edits), schema)
+        index = spark.sparkContext.broadcast(build_index(sorted((r.item_id, r.text) for r in rows), edits, words))
+        part = d.mapInArrow(_scan(index), schema)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.min("place").alias("place"), F.max("place_end").alias("place_end"), F.min("edits").alias("edits"))
