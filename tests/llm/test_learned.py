@@ -133,23 +133,97 @@ def test_a_weak_sentence_stays_in_its_run():
     assert language.segments(spans, [None] * 4, [0] * 4) == []
 
 
-def test_edit_distance_and_segments():
-    assert [names.within(a, b, 2) for a, b in (("abc", "abc"), ("abc", "acb"), ("abc", "xbcd"), ("abc", "xyz"), ("", "ab"), ("kitten", "sitting"))] == [0, 1, 2, 3, 2, 3]
+def plain_distance(a, b):
+    """Optimal string alignment, the whole table."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_edit_distances_of_a_batch():
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        a = "".join(rng.choice(list("abc"), rng.integers(6, 10)))
-        b = list(a)
-        k = rng.integers(0, 2)
-        for _ in range(k + 1):
-            i = rng.integers(len(b))
-            b[i : i + rng.integers(0, 2)] = rng.choice(list("abc"), rng.integers(0, 2))
-        b = "".join(b)
-        n = names.within(a, b, 2)
-        if len(b) > 2 and n <= 2 and abs(len(a) - len(b)) <= 2:
-            index = {(len(a), i, t) for i, (_, t) in enumerate(names.segments(a, 2))}
-            # two plain edits leave one of three segments whole
-            if sum(x != y for x, y in zip(a, b)) <= 2 and len(a) == len(b):
-                assert index & set(names.probes(b, 2))
+    word = lambda: "".join(rng.choice(list("abc"), rng.integers(0, 9)))
+    a, b = [word() for _ in range(500)] + ["kitten", "\U0001f600b"], [word() for _ in range(500)] + ["sitting", "b"]
+    k = rng.integers(1, 3, len(a))
+    assert names.within_all(a, b, k).tolist() == [min(plain_distance(x, y), int(m) + 1) for x, y, m in zip(a, b, k)]
+    assert names.within_all([], [], np.zeros(0, dtype=np.int64)).tolist() == []
+
+
+def mistyped(rng, s):
+    k, how, new = rng.integers(len(s)), rng.integers(4), rng.choice(list("abdefgiklmnoprstuv"))
+    if how == 3 and k + 1 < len(s):
+        return s[:k] + s[k + 1] + s[k] + s[k + 2 :]
+    return s[:k] + ([new, "", new + s[k]][how % 3]) + s[k + 1 :]
+
+
+def test_all_keys_within_their_budget_are_found(spark):
+    """Recall against all pairs, for keys of 2 to 12 letters: whole for one edit, and for two but where a swap crosses a border of segments."""
+    rng = np.random.default_rng(1)
+    word = lambda n: "".join(rng.choice(list("bdfgklmnprstvz" if i % 2 == 0 else "aeiou")) for i in range(n))
+    true = [word(n) for n in range(2, 13) for _ in range(25)]
+    typed = [mistyped(rng, x) for x in true] + [mistyped(rng, mistyped(rng, x)) for x in true]
+    typed = sorted({x for x in typed if x} - set(true))
+    rows = [(x, True) for x in true] + [(x, False) for x in typed]
+    df = spark.createDataFrame(rows, "key string, is_entity boolean").select(F.lit("p").alias("kind"), "key", F.col("key").alias("plain"), "is_entity").distinct()
+    got = {(r.a, r.b) for r in names.related(df).collect()}
+    want = set()
+    for b in sorted(set(true)):
+        for a in {*true, *typed} - {b}:
+            k = names.budget(min(len(a), len(b)))
+            if plain_distance(a, b) <= k and (min(len(a), len(b)) > 3 or sorted(a) == sorted(b)):
+                want.add((a, b))
+    assert got <= want | {(b, a) for a, b in want}
+    one = {(a, b) for a, b in want if plain_distance(a, b) == 1}
+    assert one <= got
+    assert len(got & want) / len(want) > 0.98
+
+
+def test_frequent_segments_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(names, "HOT_SEGMENT", 3)
+    keys = [f"same{a}{b}tail" for a in "abcdefgh" for b in "klmn"]
+    df = spark.createDataFrame([("g", x) for x in keys], "grp string, key string")
+    got = {(r.a, r.b) for r in names.segment_join(df, df, 1).collect()}
+    assert got == {(x, y) for x in keys for y in keys if x != y and plain_distance(x, y) <= 1}
+
+
+def test_short_keys_and_long_chains(spark):
+    aliases = spark.createDataFrame([("Bob", "Robert", "given"), ("Inc", "Incorporated", "org_word")], "short_form string, full_form string, alias_kind string")
+    labels = ["Robert Li", "Robert Lee", "Robert Kim", "IBM Inc", "Robert Kmi"]
+    nodes = spark.createDataFrame([(i, x, "Entity") for i, x in enumerate(labels)], "node_id long, label string, node_type string")
+    typed = {1: "Li, Robert", 2: "KIM, ROBERT", 3: "ibm incorporated", 4: "Bob Lee", 5: "Robert Kin"}
+    triples = spark.createDataFrame([(i, x, None) for i, x in typed.items()], "triple_id long, source string, target string")
+    got = {tuple(r) for r in names.link(nodes, triples, aliases).collect()}
+    assert got == {(0, "source", 1), (2, "source", 2), (3, "source", 3), (1, "source", 4), (2, "node", 4)}
+    # a chain of forty keys, each the best-supported relative of the one before
+    chain = ["".join("ab"[(i >> k) & 1] if k < 6 else "z" for k in range(8)) for i in range(64)]
+    step = [chain[0]]
+    while len(step) < 40:  # Gray code: one letter changes each time
+        n = len(step)
+        step.append(chain[n ^ (n >> 1)])
+    rows = [(f"{x}{j}", True, "p", x) for i, x in enumerate(step) for j in range(i + 1)]
+    rec = spark.createDataFrame(rows, "name string, is_entity boolean, kind string, key string").withColumn("plain", F.col("key"))
+    assert {r.root for r in names.roots(rec).collect()} == {step[-1]}
+
+
+def test_a_name_reads_alike_at_every_size(spark):
+    aliases = [("Bran", "Branertin", "given"), ("Hal", "Halomir", "given"), ("Fdn", "Foundation", "org_word")]
+    al = spark.createDataFrame(aliases, "short_form string, full_form string, alias_kind string")
+    rng = np.random.default_rng(2)
+    own = lambda: "".join(rng.choice(list("bdfgklmnprstvz" if i % 2 == 0 else "aeiou")) for i in range(9))
+    probe = ["Branertin Nojivfohud", "Nojivfohud, Halomir", "Gusotelak Lens Foundation", "Branretin Nojivfohud"]
+    seen = []
+    for n in (60, 2000):
+        families = [own() for _ in range(n // 4)]
+        rows = [f"{g} {f}" for f in families for g in ("Branertin", "Halomir")] + [f"{own()} {w} Foundation" for _ in range(n // 4) for w in ("Lens", "Paper")] + probe
+        df = spark.createDataFrame([(x, True) for x in set(rows)], "name string, is_entity boolean")
+        lex = spark.sparkContext.broadcast(names.lexicon(df.select("name"), al))
+        seen.append({tuple(r) for r in names.read_names(df, lex).filter(F.col("name").isin(*probe)).collect()})
+    assert seen[0] == seen[1] and len(seen[0]) == 4
+    assert {(r[2], r[3], r[7]) for r in seen[0]} == {("p", "nojivfohud", "branertin"), ("p", "nojivfohud", "halomir"), ("o", "gusotelak", "")}
 
 
 def test_variants_link_to_one_entity(spark):

@@ -1,9 +1,9 @@
 """Variant spellings of persons and organisations, linked to the entity they name.
 
 A name is read into parts: titles go, organisation words are spelled out, given names (full, short or initials) are told
-from the rare part, the key (a family or an organisation's own name). Keys within edit distance 2 are found by a
-pigeonhole segment join: of k + 1 segments of a key at least one stands unchanged, at most k places shifted, in any key within k edits; candidates are verified
-by banded edit distance. Within a family, short forms and initials go to the one full given name they fit.
+from the rare part, the key (a family or an organisation's own name). Typed-over words and keys are found by a
+pigeonhole segment join: of k + 1 segments of a string at least one stands unchanged, at most k places shifted, in any string within k edits; strings too short to be cut
+are looked up by what is left of them without k of their letters; candidates are verified by banded edit distance. Within a family, short forms and initials go to the one full given name they fit.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,10 +26,17 @@ c = F.col
 TITLES = frozenset("dr prof hon mr mrs ms miss sir rev sen gov st".split())
 EMPTY = frozenset("the of and for de".split())
 TOKEN = re.compile(r"[^\W\d_]+")
-#: A token that stands beside at least so many different tokens isn't a family or an organisation's own name.
-COMMON_GIVEN, COMMON_ORG = 25, 6
-#: and beside at least one in so many of all names, which bounds the list of such tokens.
-ONE_IN = 2_000
+#: A word is common if it stands beside at least COMMON different words and beside more than those do themselves: a given name beside
+#: more than any of them, a word of organisations beside TIMES as many as the QUARTER of them, by names, that has the fewest. None of it depends on the number of names.
+COMMON, TIMES, QUARTER = 5, 2, 0.25
+#: A common word within one edit of one that is more than so many times as common is that one typed over.
+SLIPS = 10
+#: Aliases and common words that are sent to every executor at most: vocabularies, not rows. Beyond it there is an error, no cut.
+MOST_WORDS = 1_000_000
+#: Keys under LONG letters are too short for segments and are looked up by their deletions.
+LONG = 8
+#: Entries of one segment that a task looks through at most; a more frequent segment is dealt out.
+HOT_SEGMENT = 2_000
 
 
 def fold(s: str) -> str:
@@ -46,34 +55,67 @@ def plain(key: str) -> str:
     return key.replace("y", "i").replace("c", "k")
 
 
-def within(a: str, b: str, k: int) -> int:
-    """Edit distance, swaps of neighbours counting one, in a band of width k; k + 1 if it is more."""
-    if a == b:
-        return 0
-    n, m = len(a), len(b)
-    if abs(n - m) > k:
-        return k + 1
-    big = k + 1
-    before: list[int] = []
-    last = [j if j <= k else big for j in range(m + 1)]
-    for i in range(1, n + 1):
-        row = [big] * (m + 1)
-        if i <= k:
-            row[0] = i
-        for j in range(max(1, i - k), min(m, i + k) + 1):
-            v = min(last[j - 1] + (a[i - 1] != b[j - 1]), last[j] + 1, row[j - 1] + 1)
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                v = min(v, before[j - 2] + 1)
-            row[j] = v
-        if min(row) > k:
-            return big
-        before, last = last, row
-    return min(last[m], big)
-
-
-def one_edit_keys(s: str) -> set[str]:
-    """The string and all strings with one character left out: two strings within one edit share one."""
-    return {s, *(s[:i] + s[i + 1 :] for i in range(len(s)))}
+def budget(n: int) -> int:
+    """Edits between keys of which the shorter has n letters: 2 from six letters on, else 1; under four letters that one is a swap of neighbours."""
+    return 2 if n >= 6 else 1
+
+
+def within_all(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs, swaps of neighbours counting one, in a band of width k; k + 1 if it is more.
+
+    All pairs of a batch take each step of the band together.
+    """
+    n = len(a)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    wide = int(k.max())
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+
+    def codes(x: list[str], size: np.ndarray) -> np.ndarray:
+        flat = np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out = np.zeros((n, int(size.max()) + 2 * wide + 2), dtype=np.uint32)
+        r = np.repeat(np.arange(n), size)
+        out[r, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + wide + 1] = flat
+        return out
+
+    x, y = codes(a, la), codes(b, lb)  # the i-th letter (from 1) stands at i + wide
+    big = wide + 1
+    band = 2 * wide + 1  # place d of the band is j = i - wide + d
+    row = np.full((n, band), big, dtype=np.int16)
+    row[:, wide:] = np.arange(wide + 1)
+    before = np.full((n, band), big, dtype=np.int16)
+    out = np.full(n, big)
+    at_end = lb - la + wide
+    reach = (at_end >= 0) & (at_end < band)
+    done = reach & (la == 0)
+    out[done] = row[done, at_end[done]]
+    for i in range(1, int(la.max()) + 1):
+        new = np.full((n, band), big, dtype=np.int16)
+        for d in range(band):
+            j = i - wide + d
+            if j < 0 or j + wide >= y.shape[1]:
+                continue
+            if j == 0:
+                new[:, d] = min(i, big)
+                continue
+            v = row[:, d] + (x[:, i + wide] != y[:, j + wide])
+            if d + 1 < band:
+                v = np.minimum(v, row[:, d + 1] + 1)
+            if d:
+                v = np.minimum(v, new[:, d - 1] + 1)
+            if i > 1 and j > 1:
+                swap = (x[:, i + wide] == y[:, j + wide - 1]) & (x[:, i + wide - 1] == y[:, j + wide])
+                v = np.where(swap, np.minimum(v, before[:, d] + 1), v)
+            new[:, d] = np.minimum(v, big)
+        before, row = row, new
+        done = reach & (la == i)
+        out[done] = row[done, at_end[done]]
+    return np.minimum(out, k + 1)
+
+
+def deletions(s: str, k: int) -> set[str]:
+    """The string and all strings with up to k characters left out: two strings within k edits share one."""
+    return {"".join(s[i] for i in range(len(s)) if i not in out) for m in range(min(k, len(s)) + 1) for out in combinations(range(len(s)), m)}
 
 
 def compose_given(fulls: set[str]) -> set[str]:
@@ -105,23 +147,30 @@ class Lexicon:
         full = {w for w in compose_given(known) if len(w) > 3}
         self.starts = {g[:i] for g in full for i in range(2, len(g))}
         self.tails = {g[i:] for g in full for i in range(1, len(g) - 3)}
-        # a common token that is a short form of a known name isn't a name of its own
-        self.given = (full | {w for w in common if len(w) > 3 and not self.is_short(w)}) - self.org - EMPTY - TITLES
-        self.near: dict[str, set[str]] = defaultdict(set)
-        for g in self.given:
-            for x in one_edit_keys(g):
-                self.near[x].add(g)
-        self.near_org: dict[str, set[str]] = defaultdict(set)
-        for g in self.org:
-            if len(g) > 4:
-                for x in one_edit_keys(g):
-                    self.near_org[x].add(g)
+        # a common word that is a short form of a known name, or that name typed over, isn't a name of its own
+        own = {w: n for w, n in common.items() if len(w) > 3 and not self.is_short(w)}
+        by_deletion: dict[str, set[str]] = defaultdict(set)
+        for g in full | set(own):
+            for x in deletions(g, 1):
+                by_deletion[x].add(g)
+
+        def typed_over(w: str) -> bool:
+            near = {g for x in deletions(w, 1) for g in by_deletion[x] if g != w and (g in full or own.get(g, 0) > SLIPS * own[w])}
+            return len(w) > 4 and bool((within_all([w] * len(near), sorted(near), np.ones(len(near), dtype=np.int64)) <= 1).any())
+
+        self.given = (full | {w for w in own if not typed_over(w)}) - self.org - EMPTY - TITLES
         self.starts = {g[:i] for g in self.given for i in range(2, len(g))}
         self.tails = {g[i:] for g in self.given for i in range(1, len(g) - 3)}
 
-    @staticmethod
-    def _close(table: dict[str, set[str]], w: str) -> list[str]:
-        return sorted({g for x in one_edit_keys(w) for g in table.get(x, ()) if within(w, g, 1) <= 1})
+    def words(self, name: str) -> list[str]:
+        """The words of a name, without titles."""
+        words = TOKEN.findall(fold(name))
+        words = [w for w in words if w not in TITLES or len(words) == 1]
+        return [x for w in words for x in ((w[:-2], "of") if w.endswith("of") and w[:-2] in self.org else (w,))]
+
+    def unknown(self, name: str) -> list[str]:
+        """Words that may be typed-over given names or words of organisations."""
+        return [w for w in self.words(name) if len(w) > 4 and w not in self.given and w not in self.org]
 
     def base(self, w: str) -> str:
         """A short form without its pet ending: kevvie and kevy give kev."""
@@ -133,17 +182,18 @@ class Lexicon:
     def is_short(self, w: str) -> bool:
         return len(w) == 1 or w in self.alias or (3 <= len(w) <= 7 and (w in self.starts or self.base(w) in self.starts or w in self.tails))
 
-    def read(self, name: str) -> tuple[str, str, list[str], list[str]] | None:
-        """(kind 'p' or 'o', key with 'ph' left alone, given names in order, organisation words), or None if there is no key."""
-        words = TOKEN.findall(fold(name))
-        words = [w for w in words if w not in TITLES or len(words) == 1]
-        words = [x for w in words for x in ((w[:-2], "of") if w.endswith("of") and w[:-2] in self.org else (w,))]
+    def read(self, name: str, fixes: dict[str, list[str]], org_fixes: dict[str, list[str]]) -> tuple[str, str, list[str], list[str]] | None:
+        """(kind 'p' or 'o', key with 'ph' left alone, given names in order, organisation words), or None if there is no key.
+
+        ``fixes`` and ``org_fixes`` have the given names and the words of organisations within one edit of a word.
+        """
+        words = self.words(name)
         spelled = [self.org_short.get(w, w) for w in words]
         org = [w for w in spelled if w in self.org]
         if not any(w in self.given for w in spelled):
             fixed = []
             for w in spelled:
-                close = self._close(self.near_org, w) if w not in self.org and len(w) > 4 else []
+                close = org_fixes.get(w, [])
                 fixed.append(close[0] if close else w)
             if len([w for w in fixed if w in self.org]) > len(org):
                 spelled, org = fixed, [w for w in fixed if w in self.org]
@@ -157,7 +207,7 @@ class Lexicon:
             if w in self.given or len(w) == 1:
                 given.append(w)
                 continue
-            close = self._close(self.near, w) if len(w) > 4 else []
+            close = fixes.get(w, [])
             if close:
                 given.append(close[0] if len(close) == 1 else "?" + "|".join(close))
                 continue
@@ -193,13 +243,28 @@ class Lexicon:
         return list(out.items())
 
 
+def _unknown(lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = lexicon.value
+        for b in batches:
+            rows = [(n, w) for n in b.column("name").to_pylist() for w in dict.fromkeys(x.unknown(n))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["name", "word"])
+
+    return run
+
+
 def _read(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = lexicon.value
         for b in batches:
-            got = [x.read(s) for s in b.column("name").to_pylist()]
-            keep = pa.array([g is not None and 4 <= len(sound(g[1])) for g in got])
-            rows = [g for g in got if g is not None and 4 <= len(sound(g[1]))]
+            got = []
+            for name, fixes in zip(b.column("name").to_pylist(), b.column("fixes").to_pylist()):
+                near: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+                for f in sorted(fixes or [], key=lambda f: f["b"]):
+                    near[f["grp"] == "o"].setdefault(f["word"], []).append(f["b"])
+                got.append(x.read(name, *near))
+            keep = pa.array([g is not None for g in got], pa.bool_())
+            rows = [g for g in got if g is not None]
             first = [g[2][0] if g[2] else "" for g in rows]
             yield pa.RecordBatch.from_arrays(
                 [b.column("name").filter(keep), b.column("is_entity").filter(keep), pa.array([g[0] for g in rows], pa.string()), pa.array([sound(g[1]) for g in rows], pa.string()), pa.array([g[1] for g in rows], pa.string()), pa.array(first, pa.string()), pa.array([" ".join(g[3]) for g in rows], pa.string()),
@@ -210,6 +275,17 @@ def _read(lexicon):
     return run
 
 
+def read_names(names: DataFrame, lex) -> DataFrame:
+    """name, is_entity, kind, key, plain, first, words, full of names (name, is_entity) that hold a key, typed-over given names and words of organisations read as such."""
+    spark = names.sparkSession
+    known = [("g", g) for g in sorted(lex.value.given)] + [("o", g) for g in sorted(lex.value.org) if len(g) > 4]
+    unknown = cut(names.mapInArrow(_unknown(lex), "name string, word string"))
+    asked = unknown.select("word").distinct().select(F.explode(F.array(F.lit("g"), F.lit("o"))).alias("grp"), c("word").alias("key"))
+    near = segment_join(asked, spark.createDataFrame(known, "grp string, key string"), 1)
+    fixes = unknown.join(near.select("grp", c("a").alias("word"), "b"), "word").groupBy("name").agg(F.collect_list(F.struct("word", "grp", "b")).alias("fixes"))
+    return names.join(fixes, "name", "left").select("name", "is_entity", "fixes").mapInArrow(_read(lex), "name string, is_entity boolean, kind string, key string, plain string, first string, words string, full string")
+
+
 def segments(s: str, k: int) -> list[tuple[int, str]]:
     """(start, text) of k + 1 nearly equal segments."""
     n = k + 1
@@ -262,76 +338,130 @@ def _index(k: int, probe: bool):
     return run
 
 
-def _verify(k: int):
+def _verify(k: int | None):
+    """Keeps pairs within ``k`` edits, or, for None, within the budget of the shorter key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = [within(x, y, k) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-            keep = pa.array([v <= k for v in d])
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("a"), b.column("b"), pa.array(d, pa.int32())], names=["grp", "a", "b", "dist"]).filter(keep)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                b = batch.slice(at, 20_000)
+                x, y = b.column("a").to_pylist(), b.column("b").to_pylist()
+                most = np.array([budget(min(len(p), len(q))) if k is None else k for p, q in zip(x, y)], dtype=np.int64)
+                d = within_all(x, y, most)
+                keep = d <= most
+                if k is None:
+                    keep &= np.array([min(len(p), len(q)) > 3 or sorted(p) == sorted(q) for p, q in zip(x, y)], dtype=bool)
+                yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("a"), b.column("b"), pa.array(d.astype(np.int32))], names=["grp", "a", "b", "dist"]).filter(pa.array(keep))
 
     return run
 
 
-def segment_join(keys: DataFrame, targets: DataFrame, k: int, shortest: int) -> DataFrame:
-    """grp, a, b, dist: keys and the different targets of their group within ``k`` edits, swaps of neighbours counting one.
+def dealt_join(probe: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join; entries of the index that have more than HOT_SEGMENT equals are dealt out, and what asks for them goes to every part.
+
+    The broadcast list holds only such keys: at most all entries / HOT_SEGMENT.
+    """
+    hot = F.broadcast(index.groupBy(*on).agg(F.count("*").alias("__n")).filter(c("__n") > HOT_SEGMENT).select(*on, F.ceil(c("__n") / HOT_SEGMENT).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    i = index.join(hot, on, "left").withColumn("__part", F.pmod(F.xxhash64("b"), parts).cast("int")).drop("__parts")
+    p = probe.join(hot, on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return p.join(i, [*on, "__part"])
+
+
+def segment_join(keys: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """grp, a, b, dist: keys (grp, key) and the different targets of their group within ``k`` edits, swaps of neighbours counting one; both need k + 1 letters.
 
     A swap inside a segment leaves the others whole; one across the border of two is found, for k = 1, by probing the swapped key
     itself, and for k = 2, where it damages two of three segments, by the third, or else with another edit not at all.
     """
     schema = "grp string, len int, seg int, text string, key string"
-    long = lambda d: d.filter(F.length("key") >= shortest).select("grp", "key").distinct()
-    index = long(targets).mapInArrow(_index(k, False), schema).withColumnRenamed("key", "b")
-    probe = long(keys).mapInArrow(_index(k, True), schema).withColumnRenamed("key", "a")
-    pairs = probe.join(index, ["grp", "len", "seg", "text"]).filter("a <> b").select("grp", "a", "b").distinct()
+    cuttable = lambda d: d.filter(F.length("key") > k).select("grp", "key").distinct()
+    index = cuttable(targets).mapInArrow(_index(k, False), schema).withColumnRenamed("key", "b")
+    probe = cuttable(keys).mapInArrow(_index(k, True), schema).withColumnRenamed("key", "a")
+    pairs = dealt_join(probe, index, ["grp", "len", "seg", "text"]).filter("a <> b").select("grp", "a", "b").distinct()
     return pairs.mapInArrow(_verify(k), "grp string, a string, b string, dist int")
 
 
+def _left_out(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(g, t, s) for g, s in zip(b.column("grp").to_pylist(), b.column("key").to_pylist()) for t in deletions(s, budget(len(s)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["grp", "text", name])
+
+    return run
+
+
+def short_join(keys: DataFrame, targets: DataFrame) -> DataFrame:
+    """grp, a, b, dist: as ``segment_join``, within their budget, for keys and targets under LONG letters."""
+    short = lambda d: d.filter(F.length("key") < LONG).select("grp", "key").distinct()
+    probe = short(keys).mapInArrow(_left_out("a"), "grp string, text string, a string")
+    index = short(targets).mapInArrow(_left_out("b"), "grp string, text string, b string")
+    pairs = dealt_join(probe, index, ["grp", "text"]).filter("a <> b").select("grp", "a", "b").distinct()
+    return pairs.mapInArrow(_verify(None), "grp string, a string, b string, dist int")
+
+
+def _bounded(df: DataFrame, what: str) -> list:
+    rows = df.limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} {what}")
+    return rows
+
+
 def lexicon(names: DataFrame, aliases: DataFrame) -> Lexicon:
-    """Common tokens are those that stand beside many different ones; their number is bounded by ONE_IN."""
-    listed = [(r.short_form, r.full_form, r.alias_kind) for r in aliases.distinct().collect()]
+    """The listed aliases and the common words: given names stand beside many families, and few of those beside so many given names."""
+    listed = [(r.short_form, r.full_form, r.alias_kind) for r in _bounded(aliases.select("short_form", "full_form", "alias_kind").distinct(), "aliases")]
     marks = sorted({fold(x) for s, f, k in listed if k == "org_word" and s and f for x in (s, f)})
-    total = names.count()
-    least = max(COMMON_GIVEN, total // ONE_IN)
     tokens = names.select(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace("name", r"[\p{Cf}\p{Mn}]", "")), r"[^\p{L}]+"), lambda t: F.length(t) > 2)).alias("ts"))
     is_org = F.arrays_overlap("ts", F.array(*[F.lit(m) for m in marks])) if marks else F.lit(False)
     skip = [F.lit(w) for w in [*marks, *EMPTY, *TITLES]]
     beside = tokens.select(is_org.alias("is_org"), "ts", F.explode("ts").alias("t")).select("is_org", "t", F.explode(F.array_except("ts", F.array(*skip))).alias("o")).filter("t <> o")
-    counts = beside.groupBy("is_org", "t").agg(F.approx_count_distinct("o", 0.05).alias("n")).filter(F.when(F.col("is_org"), F.col("n") >= max(COMMON_ORG, total // ONE_IN)).otherwise(F.col("n") >= least))
-    rows = counts.collect()
+    beside = cut(beside.groupBy("is_org", "t", "o").agg(F.count("*").alias("w")))
+    many = cut(beside.groupBy("is_org", "t").agg(F.count("*").alias("n")))
+    mine = beside.join(many.filter(c("n") >= COMMON), ["is_org", "t"]).join(many.select("is_org", c("t").alias("o"), c("n").alias("m")), ["is_org", "o"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    usual = mine.groupBy("is_org", "t", "n").agg(F.max("m").alias("most"), F.percentile("m", QUARTER, c("w")).alias("few"))
+    rows = _bounded(usual.filter(F.when(c("is_org"), c("n") > TIMES * c("few")).otherwise(c("n") > c("most"))), "common words")
     return Lexicon(listed, {fold(r.t): r.n for r in rows if not r.is_org}, {fold(r.t) for r in rows if r.is_org})
 
 
 def related(records: DataFrame) -> DataFrame:
-    """kind, a, b, dist: keys of a kind within two edits of each other, of which one is an entity's, whatever given names stand beside them.
+    """kind, a, b, dist: keys of a kind within their budget of edits of each other, of which one is an entity's, whatever given names stand beside them.
 
     Edits are counted between the sounds of keys and, where one of them has a 'ph', between the keys with 'ph' left alone too.
     """
     part = lambda tag, key, where: records.filter(where).select(F.concat("kind", F.lit(tag)).alias("grp"), F.col(key).alias("key"))
     ph = c("plain").contains("ph")
     # keys with a 'ph' are few, so it is they that probe, entities' keys among the others' too
-    keys = part("s", "key", F.lit(True)).unionByName(part("1", "plain", ph)).unionByName(part("2", "plain", ph & c("is_entity")))
-    targets = part("s", "key", c("is_entity")).unionByName(part("1", "plain", c("is_entity"))).unionByName(part("2", "plain", ~ph))
-    near = segment_join(keys, targets, 1, 6).unionByName(segment_join(keys, targets, 2, 8))
+    keys = cut(part("s", "key", F.lit(True)).unionByName(part("1", "plain", ph)).unionByName(part("2", "plain", ph & c("is_entity"))).distinct())
+    targets = cut(part("s", "key", c("is_entity")).unionByName(part("1", "plain", c("is_entity"))).unionByName(part("2", "plain", ~ph)).distinct())
+    size = F.length("key")
+    long, middle, little = size >= LONG, size.between(LONG, LONG + 1), size.between(6, LONG - 1)
+    near = segment_join(keys.filter(size >= 6), targets.filter(size >= 6), 1).unionByName(segment_join(keys.filter(long), targets.filter(long), 2)).unionByName(short_join(keys, targets))
+    # two edits between a short key and a longer one: the few short ones probe
+    near = near.unionByName(segment_join(keys.filter(little), targets.filter(middle), 2))
+    turned = segment_join(targets.filter(little), keys.filter(middle), 2)
+    near = near.unionByName(turned.select("grp", c("b").alias("a"), c("a").alias("b"), "dist"))
     bare = lambda x: F.replace(x, F.lit("ph"), F.lit("f"))
     near = near.select(F.substring("grp", 1, 1).alias("kind"), bare(c("a")).alias("a"), bare(c("b")).alias("b"), "dist").filter("a <> b")
     return near.groupBy("kind", "a", "b").agg(F.min("dist").alias("dist"))
 
 
 def roots(records: DataFrame) -> DataFrame:
-    """kind, key, root: each key's best-supported relative, followed to the end."""
+    """kind, key, root: each key's nearest relative of more support (of equal ones the best supported), followed until nothing changes."""
     keys = records.groupBy("kind", "key").agg(F.countDistinct("name").alias("support"))
     keys = cut(keys)
     near = related(records)
     both = near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "dist")).distinct()
     ka, kb = keys.select("kind", F.col("key").alias("a"), F.col("support").alias("sa")), keys.select("kind", F.col("key").alias("b"), F.col("support").alias("sb"))
-    up = both.join(ka, ["kind", "a"]).join(kb, ["kind", "b"]).filter("(sb > sa or (sb = sa and b < a)) and (dist <= 1 or sa <= 2)")
-    w = Window.partitionBy("kind", "a").orderBy("dist", F.col("sb").desc(), "b")
-    parent = cut(up.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("kind", "a", F.col("b").alias("p")))
-    for _ in range(3):  # each round doubles the steps followed
+    up = both.join(ka, ["kind", "a"]).join(kb, ["kind", "b"]).filter("sb > sa or (sb = sa and b < a)")
+    best = F.min(F.struct("dist", (-c("sb")).alias("s"), "b")).alias("m")
+    parent = cut(up.groupBy("kind", "a").agg(best).select("kind", "a", c("m.b").alias("p")))
+    while True:  # each round doubles the steps followed; support only grows along them, so there is an end
         nxt = parent.select("kind", F.col("a").alias("p"), F.col("p").alias("pp"))
-        parent = parent.join(nxt, ["kind", "p"], "left").select("kind", "a", F.coalesce("pp", "p").alias("p"))
-    parent = cut(parent)
-    return keys.join(parent.withColumnRenamed("a", "key"), ["kind", "key"], "left").select("kind", "key", F.coalesce("p", "key").alias("root"))
+        parent = cut(parent.join(nxt, ["kind", "p"], "left").select("kind", "a", F.coalesce("pp", "p").alias("p"), c("pp").isNotNull().alias("on")))
+        if not parent.filter("on").limit(1).count():
+            break
+        parent = parent.drop("on")
+    return keys.join(parent.select("kind", c("a").alias("key"), "p"), ["kind", "key"], "left").select("kind", "key", F.coalesce("p", "key").alias("root"))
 
 
 def _forms(lex):
@@ -365,7 +495,7 @@ def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, entity: for ``names`` (name, is_entity; distinct), the entity key of each name that can be read as one."""
     spark = names.sparkSession
     lex = spark.sparkContext.broadcast(lexicon(names.filter("is_entity").select("name"), aliases))
-    records = cut(names.mapInArrow(_read(lex), "name string, is_entity boolean, kind string, key string, plain string, first string, words string, full string"))
+    records = cut(read_names(names, lex))
     root = roots(records)
     r = cut(records.join(root, ["kind", "key"]))
     orgs = r.filter("kind = 'o'").select("name", F.concat(F.lit("o|"), "root").alias("entity"))
