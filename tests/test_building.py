@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from weftgraph.functions.encoder import encode
-from weftgraph.operators import align, extract, fold, plan, training
+from weftgraph.operators import align, evolution, extract, fold, plan, training
 
 
 def test_patterns_in_order(spark):
@@ -58,14 +58,20 @@ def test_classifier_learns_and_ranks(spark):
     assert acc.n == 800 and acc.top_1 > 0.9 and acc.top_3 >= acc.top_1 and acc.top_5 == 1.0
 
 
-def test_evolution_state_moves_towards_rewards():
-    s = training.EvolutionState()
-    before = s.mu.copy()
-    tried = s.propose(8)
-    for t in tried:
-        moved = s.reward(float(t[10]), t)
-    assert moved and s.mu[10] > before[10] - 1e-9 and s.sigma < 0.01
-    assert s.reward(float("nan"), tried[0]) is False and all(0 <= v <= 3 for v in s.propose(1)[0][4:20])
+def test_parameters_move_towards_rewards(spark):
+    theta = evolution.parameters(spark)
+    tried = evolution.propose(theta, spark.range(40).withColumnRenamed("id", "trial"), 0.05)
+    rows = {(r.trial, r.dim): r.value for r in tried.collect()}
+    assert len(rows) == 40 * evolution.DIMS and all(0 <= v <= 3 for (_, d), v in rows.items() if 4 <= d < 20) and all(v >= 0.0001 for (_, d), v in rows.items() if d < 2)
+    free = np.array([v for (_, d), v in rows.items() if d >= 20])
+    assert abs(free.mean()) < 0.01 and abs(free.std() - 0.05) < 0.005
+    reward = tried.filter("dim = 30").select("trial", F.col("value").alias("reward"))
+    moved = {r.dim: r.mu for r in evolution.move(theta, tried, reward).collect()}
+    z = np.array([rows[t, 30] for t in range(40)])
+    assert np.isclose(moved[30], evolution.RATE * ((z - z.mean()) / z.std() * z).mean() * (1 - evolution.ANCHOR)) and moved[30] > 0
+    nan = spark.createDataFrame([(t, float("nan")) for t in range(40)], "trial long, reward double")
+    assert {r.dim: r.mu for r in evolution.move(theta, tried, nan).collect()} == {r.dim: r.mu for r in theta.collect()}
+    assert evolution.settings(tried).filter("trial = 3").first().top_k == round(rows[3, 3])
 
 
 def test_clusters(spark):

@@ -40,5 +40,8 @@ def test_deltas_are_signed_and_add_up(spark):
     assert {(r.node_id, r.refs, r.orphan_kind) for r in O.current_orphans(state).collect()} == {(1, 2, "deleted")}
     later = O.apply_deltas(state, O.existence_deltas(spark.createDataFrame([(1, 9.0, "")], N)), O.existence_deltas(nodes, -1))
     assert {(r.node_id, r.refs, r.orphan_kind) for r in O.current_orphans(later).collect()} == {(2, 1, "missing")}
+    early, late = (O.existence_deltas(spark.createDataFrame([(1, t, "")], N)) for t in (2.0, 9.0))
+    back = O.summary(O.apply_deltas(state, early, late, O.existence_deltas(spark.createDataFrame([(1, 2.0, "")], N), -1)))
+    assert [(r.exist, r.created, r.null_created) for r in back.filter("node_id = 1").collect()] == [(1, 9.0, False)]  # the earlier time goes with its record
     nothing = O.apply_deltas(later, O.reference_deltas(refs, -1), O.existence_deltas(spark.createDataFrame([(1, 9.0, "")], N), -1), O.deletion_deltas(gone, -1))
     assert nothing.count() == 0

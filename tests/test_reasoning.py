@@ -80,9 +80,28 @@ def test_rank_probabilities_prefer_the_larger_of_equals(spark):
 def test_beam_search():
     logits = np.zeros(16)
     logits[3], logits[5] = 2.0, 1.9
-    seq, conf = plan.beam(logits)
-    assert len(seq) == 8 and set(seq[:2]) == {3, 5} and 0 < conf < 1
-    assert plan.beam(np.zeros(16), 1)[0][0] == 15  # of equal scores the larger
+    rng = np.random.default_rng(0)
+    many = np.concatenate([logits[None], np.zeros((1, 16)), rng.normal(size=(30, 16))])
+    seqs, confs = plan.beam_all(many)
+    assert set(seqs[0, :2]) == {3, 5} and all(0 < x < 1 for x in confs) and seqs[1, 0] == 15  # of equal scores the larger
+    for width in (1, 2, 3):
+        seqs, confs = plan.beam_all(many, width)
+        for z, got, conf in zip(many, seqs, confs):
+            want = one_by_one(z, width)
+            assert got.tolist() == want[0] and math.isclose(conf, math.exp(want[1] / 8))
+
+
+def one_by_one(z, width):
+    """The beams of one row as a list of (tokens, score), extended by every token and cut to the best."""
+    beams = [((), 0.0)]
+    for _ in range(8):
+        longer = []
+        for tokens, score in beams:
+            w = [math.exp(x - (1.2 if i in tokens else 0.0)) for i, x in enumerate(z)]
+            longer += [((*tokens, i), score + math.log(x / sum(w)), k, -i) for k, (i, x) in ((len(longer), ix) for ix in enumerate(w))]
+        order = sorted(longer, key=lambda b: (-round(b[1], 12), b[2], b[3]))
+        beams = [(b[0], b[1]) for b in order[:width]]
+    return list(beams[0][0]), beams[0][1]
 
 
 def test_templates_and_fallback(spark):

@@ -163,13 +163,26 @@ def bfs(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, floor:
     return reached
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component: smallest id of each node's component, by alternating large and small stars on distinct links (a, b).
+def bounded_bfs(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, most: int = 1000, floor: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` nodes a query reaches, nearest first, then by id, and every edge at one of them, once.
+
+    The edges have ``boundary`` where one of their ends isn't among the nodes.
+    """
+    w = Window.partitionBy("query_id").orderBy("depth", "node")
+    kept = cut(bfs(edges, nodes, seeds, depth, floor).withColumn("__rn", F.row_number().over(w)).filter(c("__rn") <= most).drop("__rn"))
+    ids = kept.select("query_id", "node")
+    touch = edges.join(ids.withColumnRenamed("node", "src"), "src").select("query_id", "src", "dst", "relation", F.lit(1).alias("ends"))
+    touch = touch.unionByName(edges.join(ids.withColumnRenamed("node", "dst"), "dst").select("query_id", "src", "dst", "relation", F.lit(1).alias("ends")))
+    return kept, touch.groupBy("query_id", "src", "dst", "relation").agg((F.count("*") < 2).alias("boundary"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node, component: smallest id of each node's component, by alternating large and small stars on distinct links (a, b), until nothing changes.
 
     Every round is a few shuffles of the links left; their number falls with the logarithm of the longest path.
     """
     links = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         both = links.unionByName(links.select(c("v").alias("u"), c("u").alias("v")))
         m = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.join(m, "u").filter("v > u").select(c("v").alias("u"), c("m").alias("v")).filter("u <> v").distinct()
@@ -218,20 +231,19 @@ def jaccard(edges: DataFrame, pairs: DataFrame, least: float = 0.5) -> DataFrame
     return j.select("a", "b", F.when(union > 0, k / union).otherwise(0.0).alias("jaccard"))
 
 
+def numbered(df: DataFrame, order: list, first: int = 1, name: str = "number") -> DataFrame:
+    """Rows numbered from ``first`` in their order, by ranges, so no single task numbers all; the ranges' offsets are joined."""
+    o = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = o.groupBy("__pid").agg(F.count("*").alias("__n")).select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return o.join(F.broadcast(offsets), "__pid").withColumn(name, (c("__before") + c("__at") + first).cast("long")).drop("__pid", "__at", "__before")
+
+
 def new_ids(labels: DataFrame, known: DataFrame) -> DataFrame:
-    """label, node_id for labels that are not known: ids after the largest, in label order by ranges, so no single task numbers all."""
+    """label, node_id for labels that are not known: ids after the largest, in label order."""
     top = known.agg(F.coalesce(F.max("node_id"), F.lit(0)).alias("m")).first()["m"]
     fresh = labels.select("label").filter("label is not null").distinct().join(known.select("label"), "label", "left_anti")
-    ordered = cut(fresh.repartitionByRange("label").sortWithinPartitions("label").withColumn("pid", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    sizes = {r.pid: r.n for r in ordered.groupBy("pid").agg(F.count("*").alias("n")).collect()}
-    start, offsets = top + 1, {}
-    for pid in sorted(sizes):
-        offsets[pid] = start
-        start += sizes[pid]
-    if not offsets:
-        return ordered.select("label", F.lit(0).cast("long").alias("node_id")).limit(0)
-    offset = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
-    return ordered.select("label", (offset[c("pid")] + c("at")).cast("long").alias("node_id"))
+    return numbered(fresh, ["label"], top + 1, "node_id")
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:

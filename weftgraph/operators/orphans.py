@@ -1,8 +1,8 @@
 """References to records that do not exist.
 
-The state has, per key, signed counts: ``refs`` (references to it), ``exist`` (rows that create it) and
-``gone`` (deletions known of it), with the earliest reference and the earliest creation. It is the sum of change deltas, so a
-new batch of deltas is added by the same aggregation (``apply_deltas``); a key whose refs are positive and whose
+The maintained state has, per key and creation time, signed counts: ``refs`` (references to it), ``exist`` (records of that
+time) and ``gone`` (deletions known of it). It is the sum of change deltas, so a batch of new deltas is added by the same aggregation (``apply_deltas``) and
+a retraction takes back what was added, times included. ``summary`` sums it up per key; a key whose refs are positive and whose
 exist is zero is an orphan. Only rows of orphan or possibly late keys are then read again for the report.
 """
 
@@ -46,24 +46,35 @@ def deletion_deltas(deletions: DataFrame, sign: int = 1) -> DataFrame:
 
 
 def apply_deltas(*deltas: DataFrame) -> DataFrame:
-    """Sums deltas and earlier states into a state; keys with nothing left (all counts zero) drop out.
+    """Sums deltas and earlier states into a state; what has nothing left (all counts zero) drops out.
 
-    first_ref and created are bounds (the earliest seen); they only decide which rows are looked at again.
+    first_ref is a bound (the earliest ever seen), which only decides which rows are looked at again; creation times are part of the key, so they go with their records.
     """
+    return (
+        reduce(DataFrame.unionByName, deltas)
+        .groupBy("node_id", "created", "null_created")
+        .agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist"), F.sum("gone").alias("gone"), F.min("first_ref").alias("first_ref"))
+        .filter((F.col("refs") != 0) | (F.col("exist") != 0) | (F.col("gone") != 0))
+        .select(*[x.split()[0] for x in _DELTA.split(", ")])
+    )
+
+
+def summary(*deltas: DataFrame) -> DataFrame:
+    """One row a key of a state, or of deltas none of which takes anything back: counts, first_ref, created (the earliest of its records) and null_created."""
+    there = F.col("exist") > 0
     return (
         reduce(DataFrame.unionByName, deltas)
         .groupBy("node_id")
         .agg(
             F.sum("refs").alias("refs"), F.sum("exist").alias("exist"), F.sum("gone").alias("gone"), F.min("first_ref").alias("first_ref"),
-            F.min("created").alias("created"), F.bool_or("null_created").alias("null_created"),
+            F.min(F.when(there, F.col("created"))).alias("created"), F.bool_or(there & F.col("null_created")).alias("null_created"),
         )
-        .filter((F.col("refs") != 0) | (F.col("exist") != 0) | (F.col("gone") != 0))
     )
 
 
 def current_orphans(state: DataFrame) -> DataFrame:
     """node_id, refs, orphan_kind of the keys with references but no record."""
-    return state.filter((F.col("refs") > 0) & (F.col("exist") <= 0)).select("node_id", "refs", F.when(F.col("gone") > 0, "deleted").otherwise("missing").alias("orphan_kind"))
+    return summary(state).filter((F.col("refs") > 0) & (F.col("exist") <= 0)).select("node_id", "refs", F.when(F.col("gone") > 0, "deleted").otherwise("missing").alias("orphan_kind"))
 
 
 def references(edges: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -84,10 +95,14 @@ def orphan_rows(edges: DataFrame, embeddings: DataFrame, nodes: DataFrame, delet
     as created at its earliest create_time, or always if one of them is null. Empty tables give no rows.
     """
     refs = references(edges, embeddings)
-    state = apply_deltas(reference_deltas(refs), existence_deltas(nodes), deletion_deltas(deletions))
+    return rows_of(refs, summary(reference_deltas(refs), existence_deltas(nodes), deletion_deltas(deletions)))
+
+
+def rows_of(refs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The orphan rows of ``refs`` (all references) by the ``keys`` of a state's summary."""
     c = F.col
     late = (c("exist") > 0) & ~c("null_created") & (c("created") > c("first_ref"))
-    suspects = state.filter((c("refs") > 0) & ((c("exist") <= 0) | late)).select(
+    suspects = keys.filter((c("refs") > 0) & ((c("exist") <= 0) | late)).select(
         "node_id", "refs", F.when(c("exist") > 0, "late").when(c("gone") > 0, "deleted").otherwise("missing").alias("orphan_kind"), F.when(c("exist") > 0, c("created")).alias("created")
     )
     suspects = cut(suspects)

@@ -80,19 +80,47 @@ def gate(act: DataFrame, p: Resonance = Resonance()) -> DataFrame:
     return act.withColumn("__rn", F.row_number().over(w)).filter(c("__rn") <= p.top_k).drop("__rn")
 
 
-def resonate(edges: DataFrame, seeds: DataFrame, p: Resonance = Resonance(), initial: DataFrame | None = None) -> DataFrame:
-    """query_id, node, activation after ``p.steps`` steps from seeds (query_id, node) at full activation."""
+def change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """query_id, n_active, total, largest: active nodes and their sum after a step, and the largest change of an activation, where one isn't active from 0."""
+    rows = after.select("query_id", "node", c("activation").alias("x"), F.lit(0.0).alias("y")).unionByName(before.select("query_id", "node", F.lit(0.0).alias("x"), c("activation").alias("y")))
+    g = rows.groupBy("query_id", "node").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return g.groupBy("query_id").agg(F.count_if(c("x") > 0).alias("n_active"), F.sum("x").alias("total"), F.max(F.abs(c("x") - c("y"))).alias("largest"))
+
+
+def resonate(edges: DataFrame, seeds: DataFrame, p: Resonance = Resonance(), initial: DataFrame | None = None, epsilon: float = 0.0, history: list[DataFrame] | None = None) -> DataFrame:
+    """query_id, node, activation after ``p.steps`` steps from seeds (query_id, node) at full activation.
+
+    With ``epsilon``, steps end when no activation of any query changes by as much. ``history`` is filled with ``change`` of every step. What the
+    top-k gate lets through at most is known beforehand, so its steps count nothing.
+    """
     act = seeds.select("query_id", "node", F.lit(p.ceiling).alias("activation"))
     if initial is not None:
         act = act.unionByName(initial.select("query_id", "node", clamp(c("activation"), p.floor, p.ceiling).alias("activation")))
     act = cut(act.groupBy("query_id", "node").agg(F.max("activation").alias("activation")))
     messages = cut(message_edges(edges, p))  # read by every step
+    queries, most = act.agg(F.countDistinct("query_id"), F.count("*")).first()
     for _ in range(p.steps):
-        small = act.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        act = cut(gate(normalize(step_dynamics(act, propagate(messages, act, small), p), p), p))
+        if p.gate != "top_k":
+            most = act.limit(BROADCAST_ROWS + 1).count()
+        new = cut(gate(normalize(step_dynamics(act, propagate(messages, act, most <= BROADCAST_ROWS), p), p), p))
+        most = queries * p.top_k
+        if history is not None or epsilon:
+            moved = change(act, new)
+            if history is not None:
+                history.append(moved.withColumn("step", F.lit(len(history) + 1)))
+            if epsilon and (moved.agg(F.max("largest")).first()[0] or 0.0) < epsilon:
+                return new
+        act = new
     return act
 
 
+def with_theta(p: Resonance, theta: dict) -> Resonance:
+    """Parameters with those of a set of an evolution strategy (``evolution.settings``) put over them."""
+    from dataclasses import replace
+
+    return replace(p, **{k: v for k, v in theta.items() if k in ("propagation_threshold", "edge_threshold", "decay", "top_k", "relation_bias")})
+
+
 def with_seeds(act: DataFrame, seeds: DataFrame, p: Resonance = Resonance()) -> DataFrame:
     """Activations with the seeds that the gate dropped, at the floor."""
     lost = seeds.select("query_id", "node").distinct().join(act.select("query_id", "node"), ["query_id", "node"], "left_anti")
@@ -119,3 +147,10 @@ def tier_decision(energies: DataFrame, seeds: DataFrame, p: Resonance = Resonanc
     j = energies.join(n, "query_id")
     need = p.confidence_share * c("n_seeds") * p.ceiling
     return j.select("query_id", "n_seeds", "energy", F.when(c("energy") > need, 1).otherwise(2).alias("tier"))
+
+
+def accepted_tier(first: DataFrame, second: DataFrame, seeds: DataFrame, p: Resonance = Resonance(), gain: float = 0.2) -> DataFrame:
+    """query_id, energy, tier: the second tier's energy where the first one's didn't suffice and the second is better by ``gain``; else the first one's."""
+    j = tier_decision(first, seeds, p).join(second.select("query_id", c("energy").alias("e2")), "query_id", "left")
+    better = (c("tier") == 2) & (c("e2") >= c("energy") + gain)
+    return j.select("query_id", F.when(better, c("e2")).otherwise(c("energy")).alias("energy"), F.when(better, 2).otherwise(1).alias("tier"))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from weftgraph.session import cut, shuffle_partitions
 
+#: Stands for a first or, negative, a last order where a run has none.
+_NONE = (1 << 63) - 1
 _STATE = ["n", "n_value", "sum_value", "min_value", "max_value", "first_order", "last_order"]
 
 
@@ -51,7 +53,7 @@ def _fold(keys: Sequence[str], out: pa.Schema):
             starts = _runs(b, keys)
             v = np.asarray(b.column("__value").fill_null(np.nan), dtype=float)
             ok = np.isfinite(v)
-            o = np.asarray(b.column("__order"))
+            o, real = np.asarray(b.column("__order")), np.asarray(b.column("__real").to_numpy(zero_copy_only=False), dtype=bool)
             ends = np.append(starts[1:], b.num_rows) - 1
             cols = {k: b.column(k).take(pa.array(starts)) for k in keys}
             state = {
@@ -60,8 +62,8 @@ def _fold(keys: Sequence[str], out: pa.Schema):
                 "sum_value": np.add.reduceat(np.where(ok, v, 0.0), starts),
                 "min_value": np.minimum.reduceat(np.where(ok, v, np.inf), starts),
                 "max_value": np.maximum.reduceat(np.where(ok, v, -np.inf), starts),
-                "first_order": o[starts],
-                "last_order": o[ends],
+                "first_order": np.minimum.reduceat(np.where(real, o, _NONE), starts),
+                "last_order": np.maximum.reduceat(np.where(real, o, -_NONE), starts),
             }
             at = lambda i: {k: cols[k][i].as_py() for k in keys} | {k: state[k][i].item() for k in _STATE}
             lo, hi = 0, len(starts) - 1
@@ -95,20 +97,22 @@ def _merge(a: dict, b: dict) -> dict:
         "sum_value": a["sum_value"] + b["sum_value"],
         "min_value": min(a["min_value"], b["min_value"]),
         "max_value": max(a["max_value"], b["max_value"]),
-        "last_order": b["last_order"],
+        "first_order": min(a["first_order"], b["first_order"]),
+        "last_order": max(a["last_order"], b["last_order"]),
     }
 
 
 def balanced_profile(df: DataFrame, keys: Sequence[str], order: str, value: str, partitions: int | None = None) -> DataFrame:
     """One row a key: n, n_value, sum_value, min_value, max_value (over finite values), first_order, last_order.
 
-    ``order`` is a long that spreads the rows of a key (unique is best). Null keys form a key of their own;
+    ``order`` is a long that spreads the rows of a key (unique is best); rows where it is null count, are spread by their hash, and are neither first nor last. Null keys form a key of their own;
     null, NaN and infinite values count in n only; a key without a finite value has null sum, min and max.
     An empty table gives no rows. Other columns are dropped, so clashing names don't matter.
     """
     spark = df.sparkSession
     n = partitions or 2 * shuffle_partitions(spark)
-    rows = df.select(*keys, F.col(order).cast("long").alias("__order"), F.col(value).cast("double").alias("__value")).filter(F.col("__order").isNotNull())
+    o, v = F.col(order).cast("long"), F.col(value).cast("double")
+    rows = df.select(*keys, F.coalesce(o, F.xxhash64(*df.columns)).alias("__order"), o.isNotNull().alias("__real"), v.alias("__value"))
     spread = rows.repartitionByRange(n, *keys, "__order").sortWithinPartitions(*keys, "__order")
     fields = [rows.schema[k] for k in keys]
     schema = T.StructType(
@@ -135,7 +139,8 @@ def balanced_profile(df: DataFrame, keys: Sequence[str], order: str, value: str,
         )
     )
     some = F.col("n_value") > 0
-    return inner.unionByName(ends).withColumns({k: F.when(some, F.col(k)) for k in ("sum_value", "min_value", "max_value")})
+    known = {k: F.when(some, F.col(k)) for k in ("sum_value", "min_value", "max_value")}
+    return inner.unionByName(ends).withColumns(known | {"first_order": F.when(F.col("first_order") < _NONE, F.col("first_order")), "last_order": F.when(F.col("last_order") > -_NONE, F.col("last_order"))})
 
 
 def both_ends(edges: DataFrame, *more: str) -> DataFrame:

@@ -1,16 +1,14 @@
-"""Small models on bounded samples: an intent classifier, an evolution strategy's state, clusters of vectors."""
+"""Small models on bounded samples: an intent classifier, clusters of vectors."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.params import RELATION_BIAS
-
 c = F.col
 #: Rows that a classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -101,50 +99,6 @@ def top_k_accuracy(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), *[F.round(F.avg(F.when(c("at") <= k, 1.0).otherwise(0.0)), 6).alias(f"top_{k}") for k in (1, 3, 5)])
 
 
-@dataclass
-class EvolutionState:
-    """Mean and spread of 48 parameters; rewards of tried ones move them. The first four are thresholds, decay and top_k, then 16 relation weights."""
-
-    mu: np.ndarray = field(default_factory=lambda: np.array([0.008, 0.02, 0.1, 64.0, *RELATION_BIAS.values(), *[0.0] * 28]))
-    sigma: float = 0.01
-    rate: float = 0.02
-    decay: float = 0.1
-    anchor: float = 0.001
-    window: int = 8
-    seed: int = 0
-    start: np.ndarray | None = None
-    seen: list[tuple[float, np.ndarray]] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        self.start = self.mu.copy() if self.start is None else self.start
-
-    @staticmethod
-    def bounded(theta: np.ndarray) -> np.ndarray:
-        t = theta.copy()
-        for i, (a, b) in enumerate(((0.0001, 1.0), (0.0001, 1.0), (0.001, 0.99), (1, 4096))):
-            t[i] = np.clip(t[i], a, b)
-        t[4:20] = np.clip(t[4:20], 0.0, 3.0)
-        return t
-
-    def propose(self, n: int = 4) -> list[np.ndarray]:
-        rng = np.random.default_rng(self.seed)
-        self.seed += 1
-        return [self.bounded(self.mu + rng.normal(0, self.sigma, self.mu.shape)) for _ in range(n)]
-
-    def reward(self, value: float, theta: np.ndarray) -> bool:
-        """Takes a reward; after a window of them the mean moves. True if it did."""
-        self.seen.append((value if np.isfinite(value) else 0.0, theta))
-        if len(self.seen) < self.window:
-            return False
-        r = np.array([x for x, _ in self.seen])
-        z = (r - r.mean()) / (r.std() if r.std() > 1e-8 else 1.0)
-        self.mu = self.mu + self.rate * (z[:, None] * (np.stack([t for _, t in self.seen]) - self.mu)).mean(axis=0)
-        self.mu = self.bounded(self.mu - self.anchor * (self.mu - self.start))
-        self.sigma = max(1e-12, self.sigma * (1 - self.decay))
-        self.seen.clear()
-        return True
-
-
 def clusters(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """node, cluster by k-means over (node, v)."""
     from pyspark.ml.clustering import KMeans

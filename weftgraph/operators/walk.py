@@ -41,24 +41,59 @@ def start_nodes(act: DataFrame, seeds: DataFrame) -> DataFrame:
     return j.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").select("query_id", "node", "activation")
 
 
-def walk(sub: DataFrame, start: DataFrame, plan: list[int], p: Walk = Walk()) -> DataFrame:
+def walk(sub: DataFrame, start: DataFrame, plan: list[int], p: Walk = Walk(), others: DataFrame | None = None) -> DataFrame:
     """query_id, path, relations, activations, confidences: the best-scored step each time, along edges, never back to a node of the path.
 
-    A walk stops where no step is left. Of equal scores the smaller target, then relation, is taken.
+    A walk stops where no step is left. Of equal scores the smaller target, then relation, is taken. With ``others`` (query_id, node, activation: where a walk
+    may start again) a walk without a step is dropped and begins at the most active node that it hasn't seen. A step is one join and one aggregation
+    of the candidates; edges are dealt out by query and source once.
     """
-    state = start.filter(c("activation") >= p.min_activation).select(
-        "query_id", F.array("node").alias("path"), F.array().cast("array<string>").alias("relations"), F.array("activation").alias("activations"), F.array().cast("array<double>").alias("confidences")
-    )
+    restart = others is not None
+    none = F.array().cast("array<string>"), F.array().cast("array<double>")
+    state = start.filter(c("activation") >= p.min_activation).select("query_id", F.array("node").alias("path"), none[0].alias("relations"), F.array("activation").alias("activations"), none[1].alias("confidences"), F.array("node").alias("seen"))
     state = cut(state)
-    edges = cut(sub.filter(c("act_dst") >= p.min_activation))
-    for step in range(p.max_steps):
-        intent = F.lit(plan[min(step, len(plan) - 1)])
-        j = state.withColumn("src", F.element_at("path", -1)).filter(F.size("relations") == step).join(edges, ["query_id", "src"]).filter(~F.array_contains("path", c("dst")))
-        w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "dst", "relation")
-        best = candidate_scores(j, intent).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1")
-        moved = best.select("query_id", F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"), F.concat("activations", F.array("act_dst")).alias("activations"), F.concat("confidences", F.array("confidence")).alias("confidences"))
-        state = cut(moved.unionByName(state.join(moved.select("query_id"), "query_id", "left_anti")))
-    return state
+    edges = cut(sub.filter(c("act_dst") >= p.min_activation).repartition("query_id", "src"))
+    bias = F.create_map(*[x for i in range(p.max_steps) for x in (F.lit(i), F.lit(plan[min(i, len(plan) - 1)]))])
+    kept = ["path", "relations", "activations", "confidences", "seen"]
+    for _ in range(p.max_steps if not restart else 2 * p.max_steps):
+        going = state.withColumn("src", F.element_at("path", -1)).filter(F.size("relations") < p.max_steps)
+        j = going.join(edges.select("query_id", "src", "dst", "relation", "strength", "confidence", "act_dst"), ["query_id", "src"])
+        j = candidate_scores(j.filter(~F.array_contains("seen", c("dst"))), bias[F.size("relations")])
+        best = j.groupBy("query_id").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), "dst", "relation", "act_dst", "confidence")).alias("b"))
+        state = state.join(best, "query_id", "left")
+        on = c("b").isNotNull()
+        grow = lambda name, x: F.when(on, F.concat(name, F.array(x))).otherwise(c(name)).alias(name)
+        state = state.select("query_id", grow("path", c("b.dst")), grow("relations", c("b.relation")), grow("activations", c("b.act_dst")), grow("confidences", c("b.confidence")), grow("seen", c("b.dst")), (~on & (F.size("relations") < p.max_steps)).alias("stuck"))
+        if restart:
+            free = state.filter("stuck").join(others.filter(c("activation") >= p.min_activation).select("query_id", "node", "activation"), "query_id").filter(~F.array_contains("seen", c("node")))
+            first = free.groupBy("query_id").agg(F.min(F.struct((-F.round("activation", 12)).alias("a"), "node", "activation")).alias("f"))
+            state = state.join(first, "query_id", "left")
+            again = c("f").isNotNull()
+            state = state.select("query_id", F.when(again, F.array("f.node")).otherwise(c("path")).alias("path"), F.when(again, none[0]).otherwise(c("relations")).alias("relations"), F.when(again, F.array("f.activation")).otherwise(c("activations")).alias("activations"),
+                F.when(again, none[1]).otherwise(c("confidences")).alias("confidences"), F.when(again, F.concat("seen", F.array("f.node"))).otherwise(c("seen")).alias("seen"))
+        state = cut(state.select("query_id", *kept))
+    return state.drop("seen")
+
+
+def boost(edges: DataFrame, similarity: DataFrame, floor: float = 0.15) -> DataFrame:
+    """Edges with their strength raised by how similar their relation and target are to the query: similarity has (query_id, dst, relation, rel_sim, tgt_sim). Strength may pass 1."""
+    over = lambda x: F.greatest(F.lit(0.0), c(x) - floor)
+    j = edges.join(similarity, ["query_id", "dst", "relation"], "left")
+    factor = 1 + 2 * F.coalesce(over("rel_sim"), F.lit(0.0)) + 0.5 * F.coalesce(over("tgt_sim"), F.lit(0.0))
+    return j.select(*edges.columns[: edges.columns.index("strength")], (c("strength") * factor).alias("strength"), *edges.columns[edges.columns.index("strength") + 1 :])
+
+
+def walk_statistics(walks: DataFrame) -> DataFrame:
+    """Number of walks, their steps in all and on average, and their mean confidence."""
+    n = F.size("relations")
+    return walks.agg(F.count("*").alias("n_walks"), F.sum(n).alias("n_steps"), F.round(F.avg(n), 6).alias("mean_steps"), F.round(F.avg(walk_confidence(c("confidences"))), 6).alias("mean_confidence"))
+
+
+def update_bias(bias: DataFrame, changes: DataFrame) -> DataFrame:
+    """A table of preferences (intent, relation, b) with changes put over it, within [0.1, 3]."""
+    key = ["intent", "relation"]
+    new = changes.select(*key, F.least(F.greatest("b", F.lit(0.1)), F.lit(3.0)).alias("b"))
+    return bias.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
 def walk_confidence(confidences: Column) -> Column:
@@ -77,3 +112,10 @@ def eligibility(walk_steps: DataFrame, edges: DataFrame, gamma: float = 0.9) ->
     """query_id, src, dst, relation, eligibility: discounted activation times edge weight, summed over an edge's steps."""
     j = walk_steps.join(edges.select("src", "dst", "relation", "strength", "confidence"), ["src", "dst", "relation"])
     return j.groupBy("query_id", "src", "dst", "relation").agg(F.sum(F.pow(F.lit(gamma), c("t")) * c("act_src") * c("strength") * c("confidence")).alias("eligibility"))
+
+
+def eligibility_details(walk_steps: DataFrame, edges: DataFrame, gamma: float = 0.9) -> DataFrame:
+    """As ``eligibility``, with the contribution of each step, in order."""
+    j = walk_steps.join(edges.select("src", "dst", "relation", "strength", "confidence"), ["src", "dst", "relation"])
+    part = F.pow(F.lit(gamma), c("t")) * c("act_src") * c("strength") * c("confidence")
+    return j.groupBy("query_id", "src", "dst", "relation").agg(F.sum(part).alias("eligibility"), F.array_sort(F.collect_list(F.struct("t", part.alias("part")))).alias("parts"))

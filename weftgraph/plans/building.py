@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftgraph import functions as X
-from weftgraph.operators import align, extract, fold, graph as G, learning as H, training as M, vectors as V
+from weftgraph.operators import align, evolution as S, extract, fold, graph as G, learning as H, training as M, vectors as V
 from weftgraph.params import RELATION_BIAS
-from weftgraph.plans import views as W
+from weftgraph.plans import reasoning, views as W
 from weftgraph.plans.views import E, L, sql
 from weftgraph.session import cut, table
 
@@ -98,8 +98,7 @@ def intent_bias_learning(spark: SparkSession, sf: str) -> DataFrame:
 
 def pattern_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """A node for each frequent pair of events, with an edge to either."""
-    p = H.coactivation(W.log(spark, sf)).withColumn("at", F.row_number().over(Window.orderBy(c("n").desc(), "a", "b")))
-    p = p.select((c("at") + (1 << 60) - 1).alias("pattern_id"), "a", "b")
+    p = G.numbered(H.coactivation(W.log(spark, sf)), [c("n").desc(), "a", "b"], 1 << 60, "pattern_id")
     ends = F.explode(F.array("a", "b")).alias("target")
     return p.select("pattern_id", ends, F.lit("associated_with").alias("relation"), F.lit(0.9).alias("strength"), F.lit(0.9).alias("confidence"))
 
@@ -130,13 +129,12 @@ def vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def es_propose(spark: SparkSession, sf: str) -> DataFrame:
-    """Parameters to try next, after a window of rewards from the first users' means."""
-    s = M.EvolutionState()
-    rewards = [r.reward for r in W.log(spark, sf).groupBy("context").agg(F.avg("reward").alias("reward")).orderBy("context").limit(s.window).collect()]
-    for r, t in zip(rewards, s.propose(s.window)):
-        s.reward(float(r), t)
-    rows = [(i, j, float(x)) for i, t in enumerate(s.propose()) for j, x in enumerate(t)]
-    return spark.createDataFrame(rows, "proposal int, dim int, value double")
+    """Parameters to try next, after each user has tried a set and its mean reward has moved their mean."""
+    rewards = cut(W.log(spark, sf).groupBy(c("context").alias("trial")).agg(F.avg("reward").alias("reward")))
+    theta = S.parameters(spark)
+    new = cut(S.move(theta, S.propose(theta, rewards), rewards))
+    tried = S.propose(new, spark.range(4).withColumnRenamed("id", "trial"), S.next_sigma(S.SIGMA), 1)
+    return tried.select(c("trial").alias("proposal"), "dim", F.round("value", 6).alias("value"))
 
 
 def question_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,3 +176,16 @@ SQL = {
     "question_links": sql(W.N, "q AS (SELECT item_id, lower(text) AS text, unnest(list_distinct(string_split_regex(lower(text), '[^a-z]+'))) AS t FROM benchmark WHERE item_kind = 'question')", "m AS (SELECT node_id, lower(label) AS label, unnest(list_distinct(string_split_regex(lower(label), '[^a-z]+'))) AS t FROM n WHERE label IS NOT NULL)",
         "j AS (SELECT DISTINCT item_id, node_id, length(label) AS size, contains(text, label) AS whole FROM q JOIN m USING (t) WHERE length(t) >= 6)", "SELECT item_id, node_id, whole FROM j QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY whole DESC, size DESC, node_id) = 1"),
 }
+_Z = reasoning._normal
+SQL |= {
+    "reward_ema": sql(L, "k AS (SELECT context, list({'m': reward, 'v': CAST(1.0 AS DOUBLE), 's': CAST(0.0 AS DOUBLE)} ORDER BY ts, event_id) AS xs FROM l GROUP BY 1)",
+        "r AS (SELECT context, len(xs) AS n, list_reduce(xs, lambda a, x: {'m': 0.9 * a.m + 0.1 * x.m, 'v': 0.9 * a.v + 0.1 * power(x.m - (0.9 * a.m + 0.1 * x.m), 2), 's': a.s + (x.m - (0.9 * a.m + 0.1 * x.m)) / greatest(sqrt(0.9 * a.v + 0.1 * power(x.m - (0.9 * a.m + 0.1 * x.m), 2)), 1e-8)}) AS z FROM k)",
+        "SELECT context, n, round(z.s, 4) AS total FROM r"),
+    "intent_bias_learning": sql(L, "k AS (SELECT item, list_prepend({'b': CAST(1.0 AS DOUBLE), 'hi': CAST(-1e9 AS DOUBLE), 'lo': CAST(1e9 AS DOUBLE)}, list({'b': reward / 100, 'hi': CAST(0 AS DOUBLE), 'lo': CAST(0 AS DOUBLE)} ORDER BY ts, event_id)) AS xs FROM l GROUP BY 1)",
+        "r AS (SELECT item, list_reduce(xs, lambda a, x: {'b': greatest(0.1, least(3.0, a.b + 0.01 * x.b * (1 - a.b / 3))), 'hi': greatest(a.hi, greatest(0.1, least(3.0, a.b + 0.01 * x.b * (1 - a.b / 3)))), 'lo': least(a.lo, greatest(0.1, least(3.0, a.b + 0.01 * x.b * (1 - a.b / 3))))}) AS z FROM k)",
+        "SELECT item, round(z.hi, 6) AS highest, round(z.lo, 6) AS lowest FROM r"),
+    "es_propose": sql(L, reasoning._THETA, "w AS (SELECT context AS trial, avg(reward) AS reward FROM l GROUP BY 1)", f"p AS (SELECT trial, dim, mu, least(greatest(mu + 0.01 * {_Z('0', 'trial', 'dim')}, low), high) AS value FROM w, th)",
+        "z AS (SELECT trial, (reward - avg(reward) OVER ()) / CASE WHEN stddev_pop(reward) OVER () > 1e-8 THEN stddev_pop(reward) OVER () ELSE 1 END AS z FROM w)", "d AS (SELECT dim, avg(z * (value - mu)) AS step FROM p JOIN z USING (trial) GROUP BY 1)",
+        "t AS (SELECT dim, least(greatest(mu + 0.02 * step - 0.001 * (mu + 0.02 * step - mu), low), high) AS mu, low, high FROM th JOIN d USING (dim))",
+        f"SELECT trial AS proposal, dim, round(least(greatest(mu + 0.01 * 0.9 * {_Z('1', 'trial', 'dim')}, low), high), 6) AS value FROM t, range(4) r(trial)"),
+}

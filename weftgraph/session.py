@@ -14,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session, or, where none is named (tests), one of our own."""
+    """The shared checkpoint folder named by the session; where none is named, one of our own on a local master, and an error on a cluster, whose machines wouldn't share it."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not conf and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     where = conf or os.path.join(tempfile.gettempdir(), "weftgraph-checkpoints")
     sc.setCheckpointDir(where)
     return where

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 c = F.col
 # Format by extension.
@@ -94,13 +94,10 @@ def read_any(spark: SparkSession, path: str, start: int = 0, end: int | None = N
 
     # positions: sizes of the partitions, then an offset for each; no row goes to one task
     d = cut(df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    at, offsets = 0, [0, 0]
-    for r in d.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect():
-        offsets += [r["__p"], at]
-        at += r.n
-    offset = F.create_map(*[F.lit(x) for x in offsets[2:] or offsets])
-    pos = offset[c("__p")] + c("__i")
-    return d.filter((pos >= start) & (pos < (end if end is not None else 1 << 62))).drop("__p", "__i")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    offsets = d.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    pos = c("__before") + c("__i")
+    return d.join(F.broadcast(offsets), "__p").filter((pos >= start) & (pos < (end if end is not None else 1 << 62))).select(*df.columns)
 
 
 class SqliteSource:
