@@ -1,5 +1,7 @@
 """Operators with models or rules: recall against brute force, and known cases."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -61,6 +63,14 @@ def test_sentences_of_known_texts():
         assert got == want
 
 
+def test_enclosures_are_found_in_one_pass():
+    assert sentences.enclosures("a (b [c) d] e) \"x\" „y“ 'z.' «open") == [(2, 8), (15, 18), (19, 22), (23, 27)]
+    text = ("word (open \"q ' s “ „ « text. " * 5000)[:144_000]
+    start = time.process_time()
+    sentences.enclosures(text)
+    assert time.process_time() - start < 0.5
+
+
 def test_sentences_cover_everything_but_space(spark):
     texts = [None, "", " \n ", "One. Two.", "x" * 20000, "a.b.c", "...", "\n\nA\n\nB\n\n", "word " * 5000]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(3, "One. Two.", "again"), (None, "A. B.", "")], "id long, article string, sentence string")

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,11 @@ MARK = re.compile(r"[.!?…。｡．！？।॥۔؟።;;]+(?:[   ](?=[!?]))?
 BLANK = re.compile(r"[^\S\r\n]*(?:\r\n|[\r\n  ])(?:[^\S\r\n]*(?:\r\n|[\r\n  ]))+")
 WORD = re.compile(r"\w[\w'’.-]*\w|\w")
 LAST = re.compile(r"(\S*?)$")
+SIGNS = re.compile("[" + re.escape("".join(OPEN) + "".join(OPEN.values())) + "\"']")
+OPENER = {v: k for k, v in OPEN.items() if k not in "‘„"}
+SINGLE_END = re.compile(r"(?<=[.!?,…])'(?!\w)")
+CURLY_END = re.compile(r"’(?!\w)")
+CLOSERS = re.compile("[   " + re.escape(CLOSE) + "]*")
 THAI = re.compile(r"[฀-๿]")
 
 
@@ -56,46 +63,51 @@ def enclosures(text: str) -> list[tuple[int, int]]:
     """Outermost quotations and brackets [start, end) of a paragraph; what is never closed encloses nothing.
 
     A straight double quote opens after white space or at the start and closes elsewhere; a straight single one is a quote only if it opens
-    before a letter after white space and closes after an end mark or comma.
+    before a letter after white space and closes after an end mark or comma. All ends are known after one pass: those of brackets by stacks, those of quotes by sorted places.
     """
+    at: dict[str, list[int]] = defaultdict(list)
+    ends: dict[int, int] = {}
+    stacks: dict[str, list[int]] = defaultdict(list)
+    order = []
+    for m in SIGNS.finditer(text):
+        k, x = m.start(), m.group()
+        at[x].append(k)
+        order.append(k)
+        if x in OPEN:
+            stacks[x].append(k)
+        elif stacks[o := OPENER.get(x, "")]:
+            ends[stacks[o].pop()] = k
+    if not order:
+        return []
+    single, curly = [m.start() for m in SINGLE_END.finditer(text)], [m.start() for m in CURLY_END.finditer(text)]
+
+    def after(places: list[int], k: int) -> int:
+        i = bisect_right(places, k)
+        return places[i] if i < len(places) else -1
+
     found: list[tuple[int, int]] = []
-    i, n = 0, len(text)
-    special = re.compile("[" + re.escape("".join(OPEN)) + "\"']")
-    while m := special.search(text, i):
-        a = m.start()
+    free = 0
+    for a in order:
         c = text[a]
+        if a < free or not (c in OPEN or c in "\"'"):
+            continue
         left = text[a - 1] if a else " "
-        end = -1
         if c == '"':
-            end = text.find('"', a + 1)
+            end = after(at['"'], a)
         elif c == "'":
-            if not (left.isalnum()) and a + 1 < n and not text[a + 1].isspace():
-                close = re.compile(r"(?<=[.!?,…])'(?!\w)").search(text, a + 1)
-                end = close.start() if close else -1
+            opens = not left.isalnum() and a + 1 < len(text) and not text[a + 1].isspace()
+            end = after(single, a) if opens else -1
         elif c == "‘":
-            close = re.compile(r"’(?!\w)").search(text, a + 1)
-            end = close.start() if close and not left.isalnum() else -1
-        elif c == "“" and text.rfind("„", 0, a) >= 0 and "”" not in text[a:]:
+            end = after(curly, a) if not left.isalnum() else -1
+        elif c == "“" and at["„"] and at["„"][0] < a and not (at["”"] and at["”"][-1] > a):
             end = -1
+        elif c == "„":
+            end = min((k for k in (after(at["“"], a), after(at["”"], a)) if k >= 0), default=-1)
         else:
-            want, depth, k = OPEN[c], 1, a + 1
-            if c == "„":
-                k = min((x for x in (text.find("“", a + 1), text.find("”", a + 1)) if x >= 0), default=-1)
-                end = k
-            else:
-                for k in range(a + 1, n):
-                    if text[k] == want:
-                        depth -= 1
-                        if not depth:
-                            end = k
-                            break
-                    elif text[k] == c:
-                        depth += 1
+            end = ends.get(a, -1)
         if end > a:
             found.append((a, end + 1))
-            i = end + 1
-        else:
-            i = a + 1
+            free = end + 1
     return found
 
 
@@ -150,8 +162,14 @@ def candidates(text: str, a: int, b: int) -> list[Candidate]:
     para = text[a:b]
     inside = enclosures(para)
     out: list[Candidate] = []
-    ends = [e for _, e in inside]
+    ends = {e for _, e in inside}
     k = 0
+
+    def last_before(s: int) -> str:
+        while s and para[s - 1].isspace():
+            s -= 1
+        return para[s - 1 : s]
+
     for m in MARK.finditer(para):
         s, e = m.start(), m.end()
         mark = m.group()
@@ -159,14 +177,13 @@ def candidates(text: str, a: int, b: int) -> list[Candidate]:
             k += 1
         span = inside[k] if k < len(inside) and inside[k][0] <= s else None
         left = para[s - 1] if s else ""
-        if mark[0] in ";;" and _script(para[:s].rstrip()[-1:]) != "ell":
+        if mark[0] in ";;" and _script(last_before(s)) != "ell":
             continue
         if s and left.isdigit() and e < len(para) and para[e].isdigit() and len(mark) == 1:
             continue
         closers = ""
         if span:
-            rest = para[e : span[1] - 1]
-            if rest.strip("   " + CLOSE):
+            if CLOSERS.match(para, e, max(e, span[1] - 1)).end() < span[1] - 1:
                 continue
             closers = para[e : span[1]].strip()
             e = span[1]
@@ -186,7 +203,7 @@ def candidates(text: str, a: int, b: int) -> list[Candidate]:
         if nxt == e and word[:1].islower() and not openers:
             continue
         gap = para[e:nxt]
-        out.append(Candidate(end=a + e, nxt=a + nxt, mark_at=a + s, token=token, before=before, mark=mark.strip(), closers=closers, gap="n" if "\n" in gap else "s" if gap else "0", openers=openers, next=word, after=after, script=_script(left if left.strip() else para[:s].rstrip()[-1:]), last=False))
+        out.append(Candidate(end=a + e, nxt=a + nxt, mark_at=a + s, token=token, before=before, mark=mark.strip(), closers=closers, gap="n" if "\n" in gap else "s" if gap else "0", openers=openers, next=word, after=after, script=_script(last_before(s)), last=False))
     if THAI.search(para):
         k = 0
         for m in re.finditer(r"(?<=[฀-๿])[^\S\r\n]+(?=[฀-๿])", para):
@@ -326,23 +343,23 @@ def _split(weights, key: str, column: str):
         w = weights.value
         for batch in batches:
             for b in slices(batch, column):
-                ids, s, e, t = [], [], [], []
-                for k, x in zip(b.column(key).to_pylist(), b.column(column).to_pylist()):
-                    for i, j in spans(x or "", w):
-                        ids.append(k)
-                        s.append(i)
-                        e.append(j)
-                        t.append(x[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(t, pa.string())], names=[key, "sent_start", "sent_end", "sentence"])
+                found = [spans(x, w) for x in b.column(column).to_pylist()]
+                at = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
+                ends = [pa.ListArray.from_arrays(at, pa.array([p[i] for f in found for p in f], pa.int64())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column("h"), *ends], names=[key, "h", "starts", "ends"])
 
     return run
 
 
 def split_sentences(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``key``, sent_start, sent_end, sentence: one row a sentence; positions are code points, the end exclusive.
+    """``key``, sent_start, sent_end: one row a sentence; positions are code points, the end exclusive.
 
-    Rows with a null key or a null or blank text have none; repeated rows of a key count once (of different texts the smallest); extra columns are ignored.
+    Rows with a null key or a null or blank text have none; repeated rows of a key count once (of different texts the one of the smallest hash); extra columns are ignored.
+    Texts are split where they are read: what travels to find repeated rows are positions.
     """
     d = df.select(key, column).filter(F.col(key).isNotNull() & F.col(column).isNotNull() & (F.trim(column) != ""))
     w = df.sparkSession.sparkContext.broadcast(fit(sample_texts(d, column)))
-    return d.groupBy(key).agg(F.min(column).alias(column)).mapInArrow(_split(w, key, column), f"{key} long, sent_start long, sent_end long, sentence string")
+    kind = df.schema[key].dataType.simpleString()
+    split = d.withColumn("h", F.xxhash64(column)).mapInArrow(_split(w, key, column), f"`{key}` {kind}, h long, starts array<long>, ends array<long>")
+    once = split.groupBy(key).agg(F.min_by(F.arrays_zip("starts", "ends"), "h").alias("s"))
+    return once.select(key, F.explode("s").alias("s")).select(key, F.col("s.starts").alias("sent_start"), F.col("s.ends").alias("sent_end"))
