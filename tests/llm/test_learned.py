@@ -63,6 +63,26 @@ def test_sentences_of_known_texts():
         assert got == want
 
 
+def test_a_dense_part_is_searched_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v = neighbours.unit(rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.01)
+    t = pa.table({"node_id": pa.array(np.arange(1500)), "role": pa.array(np.full(1500, 2, np.int32)), "vec": pa.array([x.tobytes() for x in v], pa.binary())})
+    tracemalloc.start()
+    got = neighbours._search(10, 0.9, 64)(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 15_000 and peak < 300_000_000
+    d = v.astype(np.float64) @ v.astype(np.float64).T
+    np.fill_diagonal(d, -2)
+    want = {(i, j) for i in range(1500) for j in np.lexsort((np.arange(1500), -d[i]))[:10].tolist()}
+    pairs = set(zip(got.column("node_id").to_pylist(), got.column("other").to_pylist()))
+    assert len(pairs & want) >= 14_990  # equal to the last digit of double precision
+
+
 def test_enclosures_are_found_in_one_pass():
     assert sentences.enclosures("a (b [c) d] e) \"x\" „y“ 'z.' «open") == [(2, 8), (15, 18), (19, 22), (23, 27)]
     text = ("word (open \"q ' s “ „ « text. " * 5000)[:144_000]

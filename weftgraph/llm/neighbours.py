@@ -15,8 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weftgraph.operators.hotcold import salted_join
 
 DIM = 64
+#: Deals of the members of a class of equal vectors.
+DEALS = 64
 
 
 @dataclass(frozen=True)
@@ -207,8 +210,22 @@ def _route(router, blocks, probes: int, least_p: float, dim: int):
     return run
 
 
+#: Scores of a block of products, and exact cosines, that a search task holds at once.
+SCORES, PAIRS = 2_000_000, 50_000
+
+
+def _best(s: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of scores that may be among a row's k best and are ``least`` or more; -2 is none. Single precision decides nothing within 1e-5."""
+    floor = np.full((len(s), 1), max(least - 1e-5, -1.5), dtype=np.float32)
+    crowded = np.flatnonzero((s >= floor).sum(axis=1) > k)
+    if len(crowded):
+        n = s.shape[1]
+        floor[crowded, 0] = np.maximum(floor[crowded, 0], np.partition(s[crowded], n - k, axis=1)[:, n - k] - 1e-5)
+    return np.nonzero(s >= floor)
+
+
 def _search(k: int, least: float, dim: int):
-    """The k best index rows of each query of one (part, index block, query block), of cosine ``least`` or more."""
+    """The k best index rows of each query of one (part, index block, query block), of cosine ``least`` or more; memory is bounded by SCORES and PAIRS, however dense the part is."""
 
     def run(t: pa.Table) -> pa.Table:
         ids = np.asarray(t.column("node_id").combine_chunks())
@@ -217,23 +234,15 @@ def _search(k: int, least: float, dim: int):
         xi, qi = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
         x, q = v[xi], v[qi]
         out = []
-        for a in range(0, len(qi), 1000):
-            s = q[a : a + 1000] @ x.T
-            s[ids[qi[a : a + 1000]][:, None] == ids[xi][None, :]] = -2
-            if least > -1:
-                r, c = np.nonzero(s >= least - 1e-5)
-            elif len(xi) > k:
-                c = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                r = np.repeat(np.arange(len(s)), k)
-                c = c.ravel()
-                keep = s[r, c] > -2
-                r, c = r[keep], c[keep]
-            else:
-                r, c = np.nonzero(s > -2)
+        step = max(1, SCORES // max(1, len(xi)))
+        for a in range(0, len(qi) if len(xi) else 0, step):
+            s = q[a : a + step] @ x.T
+            s[ids[qi[a : a + step]][:, None] == ids[xi][None, :]] = -2
+            r, c = _best(s, k, least)
             if not len(r):
                 continue
-            cos = np.einsum("ij,ij->i", q[a + r].astype(np.float64), x[c].astype(np.float64))
-            keep = cos >= least if least > -1 else np.ones(len(r), dtype=bool)
+            cos = np.concatenate([np.einsum("ij,ij->i", q[a + r[i : i + PAIRS]].astype(np.float64), x[c[i : i + PAIRS]].astype(np.float64)) for i in range(0, len(r), PAIRS)])
+            keep = cos >= least
             r, c, cos = r[keep], c[keep], cos[keep]
             order = np.lexsort((ids[xi[c]], -cos, r))
             r, c, cos = r[order], c[order], cos[order]
@@ -268,7 +277,6 @@ def similar(emb: DataFrame, k: int = 10, least: float = -1.0, query_mod: int = 1
     spark = emb.sparkSession
     now = current_vectors(emb, dim)
     asks = F.col("node_id") % query_mod == 0
-    first = F.slice(F.sort_array(F.collect_list("node_id")), 1, k + 1)
     classes = now.groupBy("h1", "h2").agg(F.min(F.struct("node_id", "emb_id")).alias("rep"), F.count("*").alias("n"), F.bool_or(asks).alias("is_query"))
     reps = classes.select(F.col("rep.node_id").alias("node_id"), F.col("rep.emb_id").alias("emb_id"), "h1", "h2", "n", "is_query")
     full = emb.select("emb_id", F.coalesce("vector", "embedding").alias("v"))
@@ -293,17 +301,21 @@ def similar(emb: DataFrame, k: int = 10, least: float = -1.0, query_mod: int = 1
     best = Window.partitionBy("node_id").orderBy(F.col("cosine").desc(), "other")
     by_rep = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).select(F.col("node_id").alias("rep"), F.col("other").alias("other_rep"), "cosine")
 
-    # Back from representatives to nodes. Most classes have one member; only larger ones take part in joins.
-    members = now.join(reps.filter("n > 1").select("h1", "h2", F.col("node_id").alias("rep"), "n"), ["h1", "h2"])
-    ranked = members.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("node_id")))
-    heads = ranked.filter(F.col("at") <= k + 1).select("rep", "node_id")
-    listed = heads.groupBy("rep").agg(first.alias("ids"))
-    own = ranked.filter(F.col("node_id") % query_mod == 0).join(listed, "rep").select("node_id", F.explode("ids").alias("other"), F.lit(1.0).alias("cosine")).filter("node_id <> other")
+    # Back from representatives to nodes. Most classes have one member; only larger ones take part in joins, dealt out by their number of members.
+    dup = reps.filter("n > 1").select("h1", "h2", F.col("node_id").alias("rep"), "n", F.col("n").alias("members"))
+    members = salted_join(now.select("node_id", "h1", "h2"), dup, ["h1", "h2"], "members").select("rep", "node_id", "n")
+    # the first k + 1 of a class: of each of its deals first, so that no task sorts a whole class
+    part = members.withColumn("deal", F.pmod(F.xxhash64("node_id"), F.lit(DEALS)))
+    part = part.withColumn("at", F.row_number().over(Window.partitionBy("rep", "deal").orderBy("node_id"))).filter(F.col("at") <= k + 1)
+    heads = part.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("node_id"))).filter(F.col("at") <= k + 1).select("rep", "node_id", "n")
+    listed = heads.groupBy("rep", "n").agg(F.sort_array(F.collect_list("node_id")).alias("ids"))
+    asking = members.filter(F.col("node_id") % query_mod == 0).select("rep", "node_id")
+    own = salted_join(asking, listed, ["rep"], "n").select("node_id", F.explode("ids").alias("other"), F.lit(1.0).alias("cosine")).filter("node_id <> other")
     # a node of a class of more than k members has no place left for others
-    small = ranked.filter(F.col("n") <= k).select("rep", "node_id")
-    big = ranked.filter((F.col("n") > k) & (F.col("at") == 1)).select("rep").distinct()
+    small = members.filter(F.col("n") <= k).select("rep", "node_id")
+    big = dup.filter(F.col("n") > k).select("rep")
     a = by_rep.join(big, "rep", "left_anti").join(small, "rep", "left").select(F.coalesce("node_id", "rep").alias("node_id"), "other_rep", "cosine").filter(F.col("node_id") % query_mod == 0)
-    b = a.join(listed.withColumnRenamed("rep", "other_rep"), "other_rep", "left").select("node_id", F.explode(F.coalesce("ids", F.array("other_rep"))).alias("other"), "cosine")
+    b = a.join(listed.select(F.col("rep").alias("other_rep"), "ids"), "other_rep", "left").select("node_id", F.explode(F.coalesce("ids", F.array("other_rep"))).alias("other"), "cosine")
     w = Window.partitionBy("node_id").orderBy(F.col("cosine").desc(), "other")
     return b.unionByName(own.filter(F.lit(least) <= 1.0)).withColumn("rank_no", F.row_number().over(w)).filter(F.col("rank_no") <= k)
 
