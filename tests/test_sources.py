@@ -98,3 +98,47 @@ def test_windowed_feedback_stream(spark, tmp_path):
     q = streaming.windowed_feedback(spark.readStream.schema(df.schema).parquet(str(tmp_path / "ev"))).writeStream.format("memory").queryName("wf").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.event_type, r.n, r.total) for r in spark.sql("SELECT * FROM wf").collect()} == {("click", 2, 3.0), ("view", 1, 1.0)}
+
+
+def test_state_metadata_and_metrics(spark, tmp_path):
+    from weftgraph.sources import state
+
+    a = spark.createDataFrame([(1, None, [1.5]), (2, "x", [])], "k long, s string, v array<double>")
+    state.save_json(str(tmp_path / "j"), one=a, two=a.select("k"))
+    state.save_json(str(tmp_path / "j"), one=a.filter("k = 2"), two=a.select("k"))
+    back = state.load_json(spark, str(tmp_path / "j"), "one")
+    assert back.schema == a.schema and [tuple(r) for r in back.collect()] == [(2, "x", [])]
+    assert state.manifest(spark, str(tmp_path / "j")).count() == 2
+    state.set_metadata(spark, str(tmp_path / "m"), {"a": "1", "b": "2"})
+    state.set_metadata(spark, str(tmp_path / "m"), {"a": "3"})
+    assert {r.key: r.value for r in state.get_metadata(spark, str(tmp_path / "m")).collect()} == {"a": "3", "b": "2"}
+    state.save_state(str(tmp_path / "s"), theta=a)
+    assert state.load_state(spark, str(tmp_path / "s"), "theta").count() == 2
+    for bad in (lambda: state.save_state(str(tmp_path / "s"), other=a), lambda: state.load_state(spark, str(tmp_path / "s"), "other")):
+        with pytest.raises(ValueError):
+            bad()
+    state.add_metrics(spark, str(tmp_path / "x"), "r1", {"loss": 0.5, "n": 3})
+    state.add_metrics(spark, str(tmp_path / "x"), "r2", {"loss": 0.4})
+    assert {(r.run, r.name, r.value) for r in state.metrics(spark, str(tmp_path / "x")).collect()} == {("r1", "loss", 0.5), ("r1", "n", 3.0), ("r2", "loss", 0.4)}
+
+
+def test_ranges_take_the_first_kind(spark, tmp_path):
+    rows = [{"sentence": f"s{i}."} for i in range(5)] + [{"head": "a", "relation": "r", "tail": "b"}] + [{"text": f"a long enough document {i}"} for i in range(4)]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    assert [r.text for r in S.read_any(spark, str(tmp_path / "m.jsonl"), 1, 3).orderBy("ord").collect()] == ["a long enough document 1", "a long enough document 2"]
+    assert [r.text for r in S.read_any(spark, str(tmp_path / "m.jsonl"), max_entries=1).collect()] == ["a long enough document 0"]
+
+
+def test_orphan_state_is_kept_by_a_stream(spark, tmp_path):
+    from weftgraph.operators import orphans as O
+
+    refs = spark.createDataFrame([(1, 5.0), (2, 1.0)], "node_id long, at double")
+    nodes = spark.createDataFrame([(1, 2.0)], "node_id long, create_time double")
+    empty = O.apply_deltas(O.reference_deltas(refs.limit(0)))
+    S.save_graph(str(tmp_path / "st"), state=empty, batches=spark.createDataFrame([], "number long"))
+    for i, delta in enumerate((O.reference_deltas(refs), O.existence_deltas(nodes), O.existence_deltas(nodes, -1))):
+        delta.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streaming.maintain_orphans(spark.readStream.schema(delta.schema).parquet(str(tmp_path / "in")), str(tmp_path / "st"), str(tmp_path / "cp"))
+        q.awaitTermination()
+        state = S.load_graph(spark, str(tmp_path / "st"), "state")
+        assert {r.node_id for r in O.current_orphans(state).collect()} == ({1, 2}, {2}, {1, 2})[i]

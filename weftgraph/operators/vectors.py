@@ -56,18 +56,9 @@ def near_pairs(vectors: DataFrame, least: float, dim: int) -> DataFrame:
     of another size than ``dim``, and zeros, are near nothing.
     """
     v = vectors.filter((F.size("v") == dim) & c("node").isNotNull()).select(c("node").cast("long").alias("node"), c("v").cast("array<double>").alias("v"))
-    n = max(1, -(-v.count() // BLOCK))
-    g = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
-    dealt = v.withColumn("g", g).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("g", "k").alias("i"), F.greatest("g", "k").alias("j"), "g", "node", "v")
 
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        x = np.asarray(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        node, left = t.column("node").to_numpy(), t.column("g").to_numpy() == i
-        right = left if i == j else ~left
-        (p, xp), (q, xq) = (node[left], x[left]), (node[right], x[right])
+        i, j, p, xp, q, xq = _sides(t, dim)
         found = []
         for at in range(0, len(p), SLICE):
             s = xp[at : at + SLICE] @ xq.T
@@ -77,7 +68,43 @@ def near_pairs(vectors: DataFrame, least: float, dim: int) -> DataFrame:
         keep = a < b if i == j else a != b
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": s[keep]})
 
-    return dealt.groupBy("i", "j").applyInArrow(run, "a long, b long, cosine double")
+    return _dealt(v).groupBy("i", "j").applyInArrow(run, "a long, b long, cosine double")
+
+
+def _dealt(v: DataFrame) -> DataFrame:
+    """Vectors (node, v) dealt out so that every pair of blocks meets in one group (i, j)."""
+    n = max(1, -(-v.count() // BLOCK))
+    g = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    return v.withColumn("g", g).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("g", "k").alias("i"), F.greatest("g", "k").alias("j"), "g", "node", "v")
+
+
+def _sides(t: pa.Table, dim: int) -> tuple:
+    """(i, j, nodes and unit vectors of block i, those of block j) of a group."""
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    x = np.asarray(t.column("v").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    node, left = t.column("node").to_numpy(), t.column("g").to_numpy() == i
+    right = left if i == j else ~left
+    return i, j, node[left], x[left], node[right], x[right]
+
+
+def cosine_extremes(vectors: DataFrame, dim: int) -> DataFrame:
+    """largest, smallest: cosines of pairs of different vectors (node, v; a node once), all pairs in blocks as in ``near_pairs``; null where there are not two."""
+    v = vectors.filter((F.size("v") == dim) & c("node").isNotNull()).select(c("node").cast("long").alias("node"), c("v").cast("array<double>").alias("v"))
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, p, xp, q, xq = _sides(t, dim)
+        high, low = -np.inf, np.inf
+        for at in range(0, len(p), SLICE):
+            s = xp[at : at + SLICE] @ xq.T
+            other = p[at : at + SLICE][:, None] != q[None, :]
+            if other.any():
+                high, low = max(high, float(s[other].max())), min(low, float(s[other].min()))
+        keep = high >= low
+        return pa.table({"high": pa.array([high] if keep else [], pa.float64()), "low": pa.array([low] if keep else [], pa.float64())})
+
+    return _dealt(v).groupBy("i", "j").applyInArrow(run, "high double, low double").agg(F.max("high").alias("largest"), F.min("low").alias("smallest"))
 
 
 def sign_buckets(vectors: DataFrame, dim: int, tables: int = 8, planes: int = 16, seed: int = 42) -> DataFrame:

@@ -75,8 +75,17 @@ def read_triples(spark: SparkSession, path: str, lang: str | None = None, relati
     return (out.filter(c("r") == relation) if relation else out).dropDuplicates()
 
 
-def read_any(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """(ord, kind, h, r, t, text) of a file, by its extension, rows [start, end) by position."""
+def first_kind(rows: DataFrame) -> DataFrame:
+    """Of rows (kind, ...) those of the first kind there is: documents, else sentences, else triples."""
+    have = {r.kind for r in rows.select("kind").distinct().collect()}
+    kind = next((k for k in ("document", "sentence", "triple") if k in have), "document")
+    return rows.filter(c("kind") == kind)
+
+
+def read_any(spark: SparkSession, path: str, start: int = 0, end: int | None = None, max_entries: int | None = None) -> DataFrame:
+    """(ord, kind, h, r, t, text) of a file, by its extension: with a range, rows [start, end) by position of the first kind there is; ``max_entries`` ends the range sooner."""
+    if max_entries is not None:
+        end = start + max_entries if end is None else min(end, start + max_entries)
     fmt = detect_format(path)
     if fmt == "csv":
         df = read_csv(spark, path)
@@ -92,6 +101,7 @@ def read_any(spark: SparkSession, path: str, start: int = 0, end: int | None = N
         return df
     from weftgraph.session import cut
 
+    df = first_kind(df)
     # positions: sizes of the partitions, then an offset for each; no row goes to one task
     d = cut(df.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition

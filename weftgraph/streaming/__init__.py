@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.operators.learning import hebbian
+from weftgraph.operators.orphans import apply_deltas
 from weftgraph.sources import load_graph, save_graph
 
 c = F.col
@@ -42,3 +43,25 @@ def learn_from(stream: DataFrame, graph_path: str, checkpoint: str):
         save_graph(graph_path, edges=feedback_step(edges, batch), batches=spark.createDataFrame([(number,)], "number long"))
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", os.path.join(checkpoint, "feedback")).trigger(availableNow=True).start()
+
+
+def maintain_orphans(stream: DataFrame, state_path: str, checkpoint: str):
+    """Starts a query that adds each micro-batch of deltas (as ``orphans`` makes them) to the orphan state saved at ``state_path``.
+
+    The batch number is saved with the state, so a batch that is delivered again changes nothing; a retraction is a batch of negative deltas.
+    """
+
+    def fold(batch: DataFrame, number: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        done = load_graph(spark, state_path, "batches").agg(F.max("number")).first()[0]
+        if done is not None and done >= number:
+            return
+        state = apply_deltas(load_graph(spark, state_path, "state"), batch)
+        save_graph(state_path, state=state, batches=spark.createDataFrame([(number,)], "number long"))
+
+    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", os.path.join(checkpoint, "orphans")).trigger(availableNow=True).start()
+
+
+def counted(stream: DataFrame, key: str = "user_id") -> DataFrame:
+    """Running counts a key, kept by the stream's own state."""
+    return stream.groupBy(key).agg(F.count("*").alias("n"))
