@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ CLOSE = "»”’“」』)）]】》›\"'"
 MARK = re.compile(r"[.!?…。｡．！？।॥۔؟።;;]+(?:[   ](?=[!?]))?[!?]*")
 BLANK = re.compile(r"[^\S\r\n]*(?:\r\n|[\r\n  ])(?:[^\S\r\n]*(?:\r\n|[\r\n  ]))+")
 WORD = re.compile(r"\w[\w'’.-]*\w|\w")
-LAST = re.compile(r"(\S*?)$")
+# what stands before a mark, read backwards
+TOKEN_BACK = re.compile(r"[^\s(\[«“\"„‘「『]*")
+WORD_BACK = re.compile(r"\s*(\S*)")
 SIGNS = re.compile("[" + re.escape("".join(OPEN) + "".join(OPEN.values())) + "\"']")
 OPENER = {v: k for k, v in OPEN.items() if k not in "‘„"}
 SINGLE_END = re.compile(r"(?<=[.!?,…])'(?!\w)")
@@ -111,6 +114,7 @@ def enclosures(text: str) -> list[tuple[int, int]]:
     return found
 
 
+@lru_cache(1 << 16)
 def _shape(tok: str) -> str:
     if not tok:
         return "none"
@@ -130,6 +134,7 @@ def _shape(tok: str) -> str:
     return "camel" if any(x.isupper() for x in tok[1:4]) else "low"
 
 
+@lru_cache(1 << 12)
 def _script(c: str) -> str:
     o = ord(c) if c else 0
     for name, a, b in (("lat", 0x41, 0x24F), ("ell", 0x370, 0x3FF), ("cyr", 0x400, 0x52F), ("ara", 0x600, 0x6FF), ("dev", 0x900, 0x97F), ("tha", 0xE00, 0xE7F), ("kan", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF)):
@@ -197,8 +202,8 @@ def candidates(text: str, a: int, b: int) -> list[Candidate]:
         nxt = e
         while nxt < len(para) and para[nxt].isspace():
             nxt += 1
-        token = re.search(r"[^\s(\[«“\"„‘「『]*$", para[max(0, s - 40) : s]).group()
-        before = re.search(r"(\S*)\s*$", para[max(0, s - 60) : s - len(token)]).group(1)
+        token = TOKEN_BACK.match(para[max(0, s - 40) : s][::-1]).group()[::-1]
+        before = WORD_BACK.match(para[max(0, s - 60) : s - len(token)][::-1]).group(1)[::-1]
         openers, word, after = _next_token(para, nxt)
         if nxt == e and word[:1].islower() and not openers:
             continue
@@ -224,17 +229,51 @@ def _type(c: Candidate) -> str:
     return _shape(c.token)
 
 
-def features(c: Candidate) -> list[int]:
-    ty, nx = _type(c), "list" if c.next.isdigit() and c.after[:2] == ". " else _shape(c.next)
-    ends = "q" if c.closers else "-"
+def _hashed(f: list[str]) -> tuple[int, ...]:
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMS for x in f)
+
+
+def _kind(c: Candidate) -> tuple:
+    """What a candidate has in common with many others: types of both tokens, mark, gap, closers, openers, script, length."""
+    nx = "list" if c.next.isdigit() and c.after[:2] == ". " else _shape(c.next)
     m = c.mark[:1] if c.mark in (".", "!", "?", "。", "।", ";") else c.mark[:3]
+    return _type(c), nx, m, c.gap, "q" if c.closers else "-", bool(c.openers), c.script, min(len(c.token), 6)
+
+
+def _of_kind(kind: tuple) -> tuple[int, ...]:
+    ty, nx, m, gap, ends, opened, script, size = kind
+    return _hashed([
+        "b", f"t={ty}", f"n={nx}", f"tn={ty}|{nx}", f"m={m}", f"mn={m}|{nx}", f"mt={m}|{ty}|{nx}", f"g={gap}", f"gn={gap}|{ty}|{nx}", f"q={ends}|{nx}", f"qg={ends}|{gap}|{script}",
+        f"s={script}|{m}", f"o={opened}|{nx}", f"len={size}|{ty}|{nx}",
+    ])
+
+
+def _of_words(c: Candidate, kind: tuple) -> tuple[int, ...]:
     low = c.token.lower()[-12:]
-    report = any(c.next.startswith(w) for w in REPORTING)
-    f = [
-        "b", f"t={ty}", f"n={nx}", f"tn={ty}|{nx}", f"m={m}", f"mn={m}|{nx}", f"mt={m}|{ty}|{nx}", f"g={c.gap}", f"gn={c.gap}|{ty}|{nx}", f"q={ends}|{nx}", f"qg={ends}|{c.gap}|{c.script}",
-        f"w={low}", f"wn={low}|{nx}", f"s={c.script}|{m}", f"o={bool(c.openers)}|{nx}", f"len={min(len(c.token), 6)}|{ty}|{nx}", f"x={c.next[:10]}", f"r={report}|{ends}", f"d={c.before.lower()[-5:] if ty.startswith('num') else ''}|{ty}",
-    ]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMS for x in f]
+    report = c.next.startswith(REPORTING)
+    return _hashed([f"w={low}", f"wn={low}|{kind[1]}", f"x={c.next[:10]}", f"r={report}|{kind[4]}", f"d={c.before.lower()[-5:] if kind[0].startswith('num') else ''}|{kind[0]}"])
+
+
+def features(c: Candidate) -> list[int]:
+    kind = _kind(c)
+    return [*_of_kind(kind), *_of_words(c, kind)]
+
+
+class Scorer:
+    """The classifier's scores; what candidates of one kind share is added up once."""
+
+    def __init__(self, w: np.ndarray):
+        self.w = w.tolist()
+        self.shared: dict[tuple, float] = {}
+
+    def __call__(self, c: Candidate) -> float:
+        kind = _kind(c)
+        s = self.shared.get(kind)
+        if s is None:
+            if len(self.shared) > 100_000:
+                self.shared.clear()
+            s = self.shared[kind] = sum(self.w[i] for i in _of_kind(kind))
+        return s + sum(self.w[i] for i in _of_words(c, kind))
 
 
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember".split())
@@ -247,7 +286,7 @@ def certain(c: Candidate) -> int | None:
     m = c.mark
     if c.mark == " ":
         return 1
-    if c.closers and any(c.next.startswith(w) for w in REPORTING):
+    if c.closers and c.next.startswith(REPORTING):
         return 0
     if c.closers and c.gap == "0" and c.script in ("han", "kan") or (c.closers and c.gap == "0" and _script(c.next[:1]) in ("han", "kan")):
         return 0
@@ -315,8 +354,9 @@ def fit(texts: list[str], rounds: int = 12, seed: int = 3) -> np.ndarray:
     return w
 
 
-def spans(text: str, w: np.ndarray) -> list[tuple[int, int]]:
+def spans(text: str, w: np.ndarray | Scorer) -> list[tuple[int, int]]:
     """Sentences [start, end) of a text, in code points."""
+    score = w if isinstance(w, Scorer) else Scorer(w)
     out = []
     for a, b in paragraphs(text):
         start = a
@@ -324,7 +364,7 @@ def spans(text: str, w: np.ndarray) -> list[tuple[int, int]]:
             # a list number belongs to what follows: nothing but a number since the last boundary
             if c.mark == "." and not c.closers and re.fullmatch(r"\d{1,3}", text[start : c.mark_at]) and c.gap != "0":
                 continue
-            if c.mark == " " or w[features(c)].sum() > 0:
+            if c.mark == " " or score(c) > 0:
                 out.append((start, c.end))
                 start = c.nxt
         if start < b:
@@ -340,7 +380,7 @@ def sample_texts(df: DataFrame, column: str, n: int = TRAIN_ARTICLES) -> list[st
 
 def _split(weights, key: str, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        w = Scorer(weights.value)
         for batch in batches:
             for b in slices(batch, column):
                 found = [spans(x, w) for x in b.column(column).to_pylist()]
