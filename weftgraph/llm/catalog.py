@@ -66,7 +66,13 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return language.wrong_labels(docs, cut(language.label_segments(docs)))
 
 
-QUERIES = {"p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+def p10_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    found = language.label_segments(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "seg_no", "seg_start", "seg_end", "lang", F.round("confidence", 4).alias("confidence"))
+
+
+QUERIES = {"p10_labels": p10_labels, "p1_found": p1_found, "p1_topk": p1_topk, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 _P4 = r"""
 WITH n AS (SELECT DISTINCT node_id, label FROM nodes WHERE label IS NOT NULL AND node_id IS NOT NULL),
 f AS (SELECT node_id, list_sort(list_filter(list_transform(string_split(replace(label, ';', '|'), '|'), lambda x: regexp_replace(lower(x), '[^\p{L}\p{Nd}]', '', 'g')), lambda x: x <> '')) AS f FROM n),

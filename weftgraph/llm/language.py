@@ -24,6 +24,8 @@ LANGS = ("ar", "de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "sv",
 LABELS = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "pol": "pl", "rus": "ru", "swe": "sv", "jpn": "ja", "zho": "zh", "chi": "zh", "ara": "ar"}
 #: Documents the network is trained on at most, and sentences of one language.
 TRAIN_DOCUMENTS = 4_000
+#: Of these, texts that the sentence splitter is fitted on at most.
+TRAIN_SPLITTER = 1_500
 TRAIN_SENTENCES = 3_000
 HIDDEN = 32
 STEPS = 96
@@ -263,22 +265,27 @@ def segments(spans: list[tuple[int, int]], probs: list[np.ndarray | None], weigh
 
 def _label(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, net = model.value
+        w, net = sentences.Scorer(model.value[0]), model.value[1]
         for batch in batches:
             for b in slices(batch, "text", 400_000):
-                docs = [sentences.spans(x or "", w) for x in b.column("text").to_pylist()]
-                texts = [content((x or "")[i:j]) for x, d in zip(b.column("text").to_pylist(), docs) for i, j in d]
-                flat = [t.encode("utf-8", "ignore") for t in texts]
-                p = unit_probabilities(net, flat)
+                texts = b.column("text").to_pylist()
+                docs = [sentences.spans(x, w) for x in texts]
+                flat = [content(x[i:j]).encode("utf-8", "ignore") for x, d in zip(texts, docs) for i, j in d]
+                number: dict[bytes, int] = {}
+                own = [number.setdefault(t, len(number)) for t in flat]  # a sentence that stands there again is read once
+                p = unit_probabilities(net, list(number))
                 rows: list[tuple] = []
+                ends = [0]
                 at = 0
-                for key, d in zip(b.column("doc_id").to_pylist(), docs):
+                for d in docs:
                     part = range(at, at + len(d))
                     at += len(d)
-                    for no, s in enumerate(segments(d, [p[i] if flat[i] else None for i in part], [len(flat[i]) for i in part]), 1):
-                        rows.append((key, no, *s))
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["doc_id", "seg_no", "seg_start", "seg_end", "lang", "confidence"])
+                    rows += segments(d, [p[own[i]] if flat[i] else None for i in part], [len(flat[i]) for i in part])
+                    ends.append(len(rows))
+                cols = list(zip(*rows)) if rows else [[]] * 4
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
+                segs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["seg_start", "seg_end", "lang", "confidence"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), segs)], names=["doc_id", "h", "segs"])
 
     return run
 
@@ -291,20 +298,24 @@ def training_pairs(docs: DataFrame, w: np.ndarray | None = None) -> tuple[np.nda
 
     rows = d.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rn") <= per).orderBy("h", "lang", "text").limit(4 * TRAIN_DOCUMENTS).collect()
     rows = [(code(r.lang), r.text) for r in rows]
-    w = sentences.fit([t for _, t in rows[:1500]])
-    return w, [(t[i:j], l) for l, t in rows if l for i, j in sentences.spans(t, w)]
+    w = sentences.fit([t for _, t in rows[:TRAIN_SPLITTER]])
+    score = sentences.Scorer(w)
+    return w, [(t[i:j], l) for l, t in rows if l for i, j in sentences.spans(t, score)]
 
 
 def label_segments(docs: DataFrame) -> DataFrame:
     """doc_id, seg_no, seg_start, seg_end, lang, confidence: every segment of every document.
 
-    Documents with a null id, a null or blank text, or nothing that tells a language have none; ids should be unique (of different texts the smallest counts). Extra columns are ignored.
+    Documents with a null id, a null or blank text, or nothing that tells a language have none; ids should be unique (of different texts the one of the smallest hash counts). Extra columns are ignored.
+    Texts are labelled where they are read; only segments travel.
     """
     spark = docs.sparkSession
     w, pairs = training_pairs(docs)
     model = spark.sparkContext.broadcast((w, train(pairs)))
-    d = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "text")
-    return d.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_label(model), "doc_id long, seg_no long, seg_start long, seg_end long, lang string, confidence double")
+    d = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    seen = d.mapInArrow(_label(model), "doc_id long, h long, segs array<struct<seg_start:long,seg_end:long,lang:string,confidence:double>>")
+    once = seen.groupBy("doc_id").agg(F.min_by("segs", "h").alias("segs"))
+    return once.select("doc_id", F.posexplode("segs").alias("at", "s")).select("doc_id", (F.col("at") + 1).cast("long").alias("seg_no"), "s.*")
 
 
 def wrong_labels(docs: DataFrame, found: DataFrame) -> DataFrame:
