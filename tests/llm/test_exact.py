@@ -40,6 +40,10 @@ def test_hot_record(spark):
 
 def test_collisions_are_told_apart(spark, monkeypatch):
     assert canonical.same_record("a|b c", "BC;A") and not canonical.same_record("a|bc", "ab|c") and not canonical.same_record("x|x", "x")
+    x = ["a|b", "A, b", "a|b", "", "é;", None, "x" * 300, "a|b|c|d"]
+    y = ["A |B", "ab.", "b|a", "?", "e;", "", "X" * 299, "D;c;B;a"]
+    assert canonical.same_sequences(pa.array(x), pa.array(y)).tolist() == [canonical.same_sequence(a or "", b or "") for a, b in zip(x, y)]
+    assert canonical.same_record(x[7], y[7]) and canonical.same_record("q" + "|".join(map(str, range(4000))), "q" + ";".join(map(str, range(4000))))
     h1, h2, n = canonical.record_hashes(pa.array(["a|b", "b|a", "ab", None, ""]))
     assert h1[0] == h1[1] != h1[2] and list(n) == [2, 2, 1, 0, 0]
 
@@ -65,6 +69,17 @@ def test_top_items(spark, heavy):
     assert topn.strongest_edges(df.limit(0)).count() == 0
 
 
+def test_many_of_a_heavy_group(spark, monkeypatch):
+    monkeypatch.setattr(topn, "FEW", 10)
+    rows = [(i, None if i % 3 else "h", (i * 7919) % 5000) for i in range(5000)] + [(9000 + i, "l", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, g string, v long")
+    got = {(r.g, r.k): r.rank_no for r in topn.top_n(df, "g", [F.col("v").desc(), F.col("k")], 700, 1000).collect()}
+    want = {}
+    for g in (None, "h", "l"):
+        want |= {(g, k): i for i, (_, k) in enumerate(sorted((-v, k) for k, h, v in rows if h == g)[:700], 1)}
+    assert got == want
+
+
 def test_rolling_hash_equals_windows():
     v = np.random.default_rng(0).integers(0, 5, 200).astype(np.uint32)
     for q in (1, 2, 3, 7, 12, 20):
@@ -81,8 +96,12 @@ def test_encoding_is_exact(spark):
     texts = [None, "", " ", "<|endoftext|> and more", "a" * 9000, "日本語の文。" * 900, "don't  stop\n\n now ", "\U0001f600 é" * 50, "The same passage stands here, in full. " * 40]
     texts += ["".join(rnd.choice(["the ", "harbour ", "council, ", "日本", "'s", "\n", "  ", "12.5 "]) for _ in range(200)) for _ in range(20)]
     df = spark.createDataFrame([(i, t, "ids") for i, t in enumerate(texts)] + [(0, None, "x")], "doc_id long, text string, ids string")
-    got = {r.doc_id: list(r.ids) for r in encoding.encode_corpus(df, TOKENIZER).collect()}
-    assert got == dict(enumerate(encoding.encode_all(TOKENIZER, [t or "" for t in texts])))
+    want = dict(enumerate(encoding.encode_all(TOKENIZER, [t or "" for t in texts])))
+    for files in (TOKENIZER, (TOKENIZER, TOKENIZER.replace(".json", ".tiktoken"))):
+        assert {r.doc_id: list(r.ids) for r in encoding.encode_corpus(df, files).collect()} == want
+    twice = spark.createDataFrame([(1, "one text"), (1, "one text"), (1, None), (1, "another text"), (2, ""), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in encoding.encode_corpus(twice, TOKENIZER).collect()}
+    assert got[2] == [] and got[1] in encoding.encode_all(TOKENIZER, ["one text", "another text"]) and len(got) == 2
     assert encoding.encode_corpus(df.limit(0), TOKENIZER).count() == 0
 
 
@@ -100,7 +119,7 @@ def test_soft_cuts_are_repaired(monkeypatch):
         parts = [[] for _ in texts]
         for r, i, s, t in zip(row.tolist(), ids, soft.tolist(), chunks):
             parts[r].append((i, s, t))
-        assert [encoding.join_chunks(TOKENIZER, p) for p in parts] == encoding.encode_all(TOKENIZER, texts)
+        assert [encoding.join_chunks(TOKENIZER, p) for p in parts] == encoding.encode_all(TOKENIZER, texts) == encoding.encode_all((TOKENIZER, TOKENIZER.replace(".json", ".tiktoken")), texts)
     assert soft_cuts > 50
 
 

@@ -76,26 +76,39 @@ def same_sequence(a: str, b: str) -> bool:
             return True
 
 
+def same_sequences(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """``same_sequence`` of all pairs of a batch: what the table keeps of both columns, compared place by place."""
+    kept = []
+    for col in (x, y):
+        cps, starts = decode(col)
+        f = FOLD(cps)
+        row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[f > 0]
+        kept.append((f[f > 0], row, np.bincount(row, minlength=len(starts) - 1)))
+    (f, r, m), (g, s, n) = kept
+    same = m == n
+    differ = f[same[r]] != g[same[s]]
+    same[r[same[r]][differ]] = False
+    return same
+
+
 def _fields(text: str) -> list[str]:
     parts = text.replace(";", "|").split("|")
     return [p for p in parts if any(fold_word_char(c) for c in p)]
 
 
+def _number(field: str) -> int:
+    h = 0
+    for c in _kept(field):
+        h = (h * _BASES[0] + ord(c) + 1) % (1 << 64)
+    return h
+
+
 def same_record(a: str, b: str) -> bool:
-    """Whether the fields agree in some order: in the given order first, else field by field."""
+    """Whether the fields agree in some order: in the given order first, else by pairs in the order of their hashes."""
     if a == b or same_sequence(a, b):
         return True
-    x, y = _fields(a), _fields(b)
-    if len(x) != len(y):
-        return False
-    for p in x:
-        for i, q in enumerate(y):
-            if same_sequence(p, q):
-                del y[i]
-                break
-        else:
-            return False
-    return True
+    x, y = (sorted(_fields(t), key=_number) for t in (a, b))
+    return len(x) == len(y) and all(same_sequence(p, q) for p, q in zip(x, y))
 
 
 def exact_form(text: str) -> str:
@@ -114,8 +127,11 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, y = b.column("label").to_pylist(), b.column("rep_label").to_pylist()
-        other = [None if same_record(p, q) else exact_form(p) for p, q in zip(x, y)]
+        x, y = b.column("label"), b.column("rep_label")
+        other: list[str | None] = [None] * b.num_rows
+        for i in np.flatnonzero(~same_sequences(x, y)).tolist():
+            p, q = x[i].as_py(), y[i].as_py()
+            other[i] = None if same_record(p, q) else exact_form(p)
         yield pa.RecordBatch.from_arrays([b.column("node_id"), b.column("rep_id"), b.column("h1"), b.column("h2"), pa.array(other, pa.string())], names=["node_id", "rep_id", "h1", "h2", "other"])
 
 

@@ -45,7 +45,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encoding.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return encoding.encode_corpus(table(spark, sf, "documents").select("doc_id", "text"), (f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:

@@ -126,14 +126,33 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batch, "text"):
             row, number, texts, soft = _chunks(b)
             h1, h2 = _digest(texts)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(soft)], names=["doc_id", "pos", "h1", "h2", "soft"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("own").take(at), pa.array(number.astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(soft)], names=["doc_id", "own", "pos", "h1", "h2", "soft"])
 
 
 _LOADED: dict = {}
+#: A tokenizer file, or that and a file of the same vocabulary as ranks, by which texts are then encoded, several times faster.
+Files = str | tuple[str, str]
+# Fixed value: the pattern by which such a vocabulary's texts are split before they are merged.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def tokenizer(path: str):
+def by_ranks(path: str):
+    """The encoder of a file of ranks, loaded once a process."""
+    if path not in _LOADED:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(t): int(n) for t, n in (line.split() for line in f if line.strip())}
+        _LOADED[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _LOADED[path]
+
+
+def tokenizer(files: Files):
     """The tokenizer of a file, loaded once a process."""
+    path = files if isinstance(files, str) else files[0]
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -144,11 +163,14 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-def encode_all(path: str, texts: list[str]) -> list[list[int]]:
+def encode_all(path: Files, texts: list[str]) -> list[list[int]]:
+    if not isinstance(path, str):
+        encode = by_ranks(path[1]).encode_ordinary
+        return [encode(t) for t in texts]
     return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def _encoder(path: str):
+def _encoder(path: Files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = encode_all(path, b.column("chunk").to_pylist())
@@ -158,18 +180,18 @@ def _encoder(path: str):
     return run
 
 
-def _borders(path: str, text: str) -> list[int]:
+def _borders(path: Files, text: str) -> list[int]:
     """Starts of the pieces into which the pattern splits a text."""
     return [a for _, (a, _) in tokenizer(path).pre_tokenizer.pre_tokenize_str(text)]
 
 
-def _piecewise(path: str, text: str, borders: list[int], end: int) -> list[int]:
+def _piecewise(path: Files, text: str, borders: list[int], end: int) -> list[int]:
     """Ids of text[:end], each piece by itself: cut off, white space would be split otherwise."""
     pieces = [text[a:b] for a, b in zip(borders, [*borders[1:], end])]
     return [i for ids in encode_all(path, pieces) for i in ids]
 
 
-def repair(path: str, left: str, left_ids: list[int], right: str, right_ids: list[int], reach: int = 64) -> tuple[str, list[int]]:
+def repair(path: Files, left: str, left_ids: list[int], right: str, right_ids: list[int], reach: int = 64) -> tuple[str, list[int]]:
     """The end of the text from a true border on, as later joins need it, and the ids of left + right.
 
     ``left`` begins at a true border. The window starts three pieces before the cut (earlier pieces cannot depend on what follows) and is widened
@@ -195,7 +217,7 @@ def repair(path: str, left: str, left_ids: list[int], right: str, right_ids: lis
         reach *= 4
 
 
-def join_chunks(path: str, parts: list[tuple[list[int], bool, str | None]]) -> list[int]:
+def join_chunks(path: Files, parts: list[tuple[list[int], bool, str | None]]) -> list[int]:
     """Ids of a text from its chunks' (ids, soft cut before it, text where a soft cut is near), in order."""
     out: list[int] = []
     text = ""
@@ -208,7 +230,7 @@ def join_chunks(path: str, parts: list[tuple[list[int], bool, str | None]]) -> l
     return out
 
 
-def _assemble(path: str):
+def _assemble(path: Files):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -222,25 +244,27 @@ def _assemble(path: str):
     return run
 
 
-def encode_corpus(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array<int>) of every document; ``path`` is a tokenizer file that every executor can read.
+def encode_corpus(docs: DataFrame, path: Files) -> DataFrame:
+    """doc_id, ids (array<int>) of every document; ``path`` names tokenizer files that every executor can read.
 
-    Rows are kept as they are: a null doc_id takes no part, a doc_id given several times with the same text counts once. Extra columns are ignored.
+    A null doc_id takes no part; a doc_id given several times counts once, of different texts the one of the smallest hash, and a null or empty one only where it has no other. Extra columns are ignored.
     """
     d = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    some = d.filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    some = d.filter(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("own", F.xxhash64("text"))
     chunks = (
         some.mapInArrow(_distinct_chunks, "h1 long, h2 long, chunk string, n long, near_soft boolean")
         .groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"), F.sum("n").alias("n"), F.bool_or("near_soft").alias("near_soft"))
         .mapInArrow(_encoder(path), "h1 long, h2 long, n long, ids array<int>, chunk string")
     )
     chunks = cut(chunks)
-    refs = some.mapInArrow(_references, "doc_id long, pos int, h1 long, h2 long, soft boolean")
-    parts = salted_join(refs, chunks, ["h1", "h2"], "n").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "soft", "ids", "chunk")).alias("parts"))
+    refs = some.mapInArrow(_references, "doc_id long, own long, pos int, h1 long, h2 long, soft boolean")
+    none = d.filter(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", *[F.lit(None).cast(t).alias(k) for k, t in (("own", "long"), ("pos", "int"), ("soft", "boolean"), ("ids", "array<int>"), ("chunk", "string"))])
+    found = salted_join(refs, chunks, ["h1", "h2"], "n").select("doc_id", "own", "pos", "soft", "ids", "chunk").unionByName(none)
+    parts = found.groupBy("doc_id").agg(F.min("own").alias("first"), F.collect_set(F.when(F.col("own").isNotNull(), F.struct("pos", "soft", "ids", "chunk", "own"))).alias("parts"))
+    parts = parts.select("doc_id", F.filter("parts", lambda p: p["own"] == F.col("first")).alias("parts"))
     in_order = F.array_sort(F.transform("parts", lambda p: F.struct(p["pos"].alias("pos"), p["soft"].alias("soft"), p["ids"].alias("ids"), p["chunk"].alias("chunk"))))
     plain = F.exists("parts", lambda p: p["soft"])
     done = parts.withColumn("parts", in_order)
     flat = done.filter(~plain).select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
     repaired = done.filter(plain).mapInArrow(_assemble(path), "doc_id long, ids array<int>")
-    none = d.filter(F.col("text").isNull() | (F.col("text") == "")).select("doc_id", F.array().cast("array<int>").alias("ids")).dropDuplicates(["doc_id"])
-    return flat.unionByName(repaired).unionByName(none)
+    return flat.unionByName(repaired)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftgraph.operators.hotcold import salted_join
-from weftgraph.session import cut
+from weftgraph.session import cut, shuffle_partitions
 
 c = F.col
 # Titles, and words that carry nothing in an organisation's name.
@@ -375,7 +375,8 @@ def segment_join(keys: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     itself, and for k = 2, where it damages two of three segments, by the third, or else with another edit not at all.
     """
     schema = "grp string, len int, seg int, text string, key string"
-    cuttable = lambda d: d.filter(F.length("key") > k).select("grp", "key").distinct()
+    parts = shuffle_partitions(keys.sparkSession)  # a key gives many rows, so few keys are spread too
+    cuttable = lambda d: d.filter(F.length("key") > k).select("grp", "key").repartition(parts, "grp", "key").distinct()
     index = cuttable(targets).mapInArrow(_index(k, False), schema).withColumnRenamed("key", "b")
     probe = cuttable(keys).mapInArrow(_index(k, True), schema).withColumnRenamed("key", "a")
     pairs = dealt_join(probe, index, ["grp", "len", "seg", "text"]).filter("a <> b").select("grp", "a", "b").distinct()
