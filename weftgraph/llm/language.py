@@ -8,16 +8,20 @@ partly wrong. Neighbouring sentences of one language make a segment.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weftgraph.llm import sentences
 from weftgraph.llm.codepoints import slices
+from weftgraph.session import ensure_checkpoint_dir
 
 LANGS = ("ar", "de", "en", "es", "fr", "it", "ja", "nl", "pl", "pt", "ru", "sv", "zh")
 # Other spellings of a label.
@@ -28,6 +32,8 @@ TRAIN_DOCUMENTS = 4_000
 TRAIN_SPLITTER = 1_500
 TRAIN_SENTENCES = 3_000
 HIDDEN = 32
+#: Goes up when training changes, so that saved models aren't taken for new ones.
+VERSION = 2
 STEPS = 96
 MARKUP = re.compile(r"<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}|https?://\S+|www\.\S+|\S*[_@#/\\=|]\S*|\([^()\w]*[\d.,]+[^()\w]*\)|\d+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -290,17 +296,33 @@ def _label(model):
     return run
 
 
-def training_pairs(docs: DataFrame, w: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[str, str]]]:
-    """Weights of the sentence splitter and (sentence, label) pairs, from a sample of labelled documents chosen by hash, as many of every language."""
+def training_rows(docs: DataFrame) -> list[tuple[str | None, str]]:
+    """(language, text) of a sample of labelled documents chosen by hash, as many of every language."""
     d = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text").between(1, sentences.LONGEST_TRAINING))).select("lang", "text", F.xxhash64("text").alias("h"))
     per = TRAIN_DOCUMENTS // len(LANGS)
-    from pyspark.sql import Window
-
     rows = d.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("rn") <= per).orderBy("h", "lang", "text").limit(4 * TRAIN_DOCUMENTS).collect()
-    rows = [(code(r.lang), r.text) for r in rows]
+    return [(code(r.lang), r.text) for r in rows]
+
+
+def fit(rows: list[tuple[str | None, str]]) -> tuple[np.ndarray, Network]:
+    """Weights of the sentence splitter and the network, from (language, text) rows."""
     w = sentences.fit([t for _, t in rows[:TRAIN_SPLITTER]])
     score = sentences.Scorer(w)
-    return w, [(t[i:j], l) for l, t in rows if l for i, j in sentences.spans(t, score)]
+    return w, train([(t[i:j], l) for l, t in rows if l for i, j in sentences.spans(t, score)])
+
+
+def fitted(docs: DataFrame) -> tuple[np.ndarray, Network]:
+    """``fit`` on the documents' sample; a model is saved in the shared folder under the hash of its sample and parameters, and read there the next time."""
+    spark = docs.sparkSession
+    rows = training_rows(docs)
+    name = xxhash.xxh3_128_hexdigest(repr((rows, TRAIN_SPLITTER, TRAIN_SENTENCES, HIDDEN, LANGS, VERSION)).encode("utf-8", "surrogatepass"))
+    path = f"{ensure_checkpoint_dir(spark)}/language-{name}.parquet"
+    try:
+        return pickle.loads(spark.read.schema("model binary").parquet(path).first().model)
+    except (AnalysisException, AttributeError):  # not there, or not written whole
+        model = fit(rows)
+    spark.createDataFrame([(pickle.dumps(model),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return model
 
 
 def label_segments(docs: DataFrame) -> DataFrame:
@@ -310,8 +332,7 @@ def label_segments(docs: DataFrame) -> DataFrame:
     Texts are labelled where they are read; only segments travel.
     """
     spark = docs.sparkSession
-    w, pairs = training_pairs(docs)
-    model = spark.sparkContext.broadcast((w, train(pairs)))
+    model = spark.sparkContext.broadcast(fitted(docs))
     d = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")).select("doc_id", "text", F.xxhash64("text").alias("h"))
     seen = d.mapInArrow(_label(model), "doc_id long, h long, segs array<struct<seg_start:long,seg_end:long,lang:string,confidence:double>>")
     once = seen.groupBy("doc_id").agg(F.min_by("segs", "h").alias("segs"))
