@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.functions import strip
-from weftgraph.functions.encoder import encode
+from weftgraph.functions.encoder import DIM, with_vectors
+from weftgraph.operators.registry import best_matches
 
 c = F.col
-#: Registry rows that are sent to every executor at once; a larger registry is taken in as many passes as it needs.
-BLOCK = 50_000
 
 
 def align_exact(labels: DataFrame, registry: DataFrame) -> DataFrame:
@@ -27,31 +22,11 @@ def align_exact(labels: DataFrame, registry: DataFrame) -> DataFrame:
 def align_similar(labels: DataFrame, registry: DataFrame, threshold: float = 0.75) -> DataFrame:
     """label, canonical, similarity: each label's most similar registry entry, if it is similar enough.
 
-    All labels are compared with the registry as it was before the batch (equal similarities: the smaller entry), so order doesn't matter.
+    All labels are compared with the registry as it was before the batch (equal similarities: the smaller entry), so order doesn't matter; both are encoded where they are and meet in blocks.
     """
-    spark = labels.sparkSession
-    names = registry.select("canonical").filter("canonical is not null").distinct()
-    total = names.count()
-    blocks = max(1, -(-total // BLOCK))
-    out = None
-    for k in range(blocks):
-        part = sorted(r.canonical for r in names.filter(F.pmod(F.xxhash64("canonical"), F.lit(blocks)) == k).collect())
-        sent = spark.sparkContext.broadcast((np.array(part, dtype=object), encode(part)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known, m = sent.value
-            for b in batches:
-                texts = b.column("label").to_pylist()
-                if not len(known) or not texts:
-                    continue
-                s = np.round(encode(texts) @ m.T, 5)
-                best = s.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(list(known[best]), pa.string()), pa.array(s[np.arange(len(s)), best].astype(float))], names=["label", "canonical", "similarity"])
-
-        x = labels.select("label").filter("label is not null").distinct().mapInArrow(run, "label string, canonical string, similarity double")
-        out = x if out is None else out.unionByName(x)
-    w = Window.partitionBy("label").orderBy(c("similarity").desc(), "canonical")
-    return out.filter(c("similarity") >= threshold).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    a = with_vectors(labels.select("label").filter("label is not null").distinct(), "label").select(c("label").alias("key"), "v")
+    b = with_vectors(registry.select("canonical").filter("canonical is not null").distinct(), "canonical").select("canonical", "v")
+    return best_matches(a, b, DIM).filter(c("cosine") >= threshold).select(c("key").alias("label"), "canonical", c("cosine").alias("similarity"))
 
 
 def absorb(registry: DataFrame, other: DataFrame) -> DataFrame:

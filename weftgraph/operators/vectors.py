@@ -18,13 +18,13 @@ BLOCK, SLICE = 8192, 512
 def rank_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """query_id, node, cosine, rank_no: the k best vectors (node, v) for each query (query_id, v); cosine rounded to 1e-6, ties by node.
 
-    The queries are a stated set, broadcast in parts of QUERIES_AT_ONCE; every batch of vectors keeps only its own best k a query.
+    The queries are a stated set, read and broadcast in parts of about QUERIES_AT_ONCE, each a pass over the vectors; every batch of vectors keeps only its own best k a query.
     """
     spark = vectors.sparkSession
-    rows = queries.select("query_id", "v").orderBy("query_id").collect()
+    parts = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     out = None
-    for a in range(0, max(1, len(rows)), QUERIES_AT_ONCE):
-        part = rows[a : a + QUERIES_AT_ONCE]
+    for a in range(parts):
+        part = queries.select("query_id", "v").filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == a).orderBy("query_id").collect()
         q = np.array([r.v for r in part], dtype=np.float64).reshape(-1, dim)
         n = np.linalg.norm(q, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast((np.array([r.query_id for r in part]), np.divide(q, n, out=np.zeros_like(q), where=n > 0)))

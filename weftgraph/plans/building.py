@@ -177,6 +177,7 @@ SQL = {
         "j AS (SELECT DISTINCT item_id, node_id, length(label) AS size, contains(text, label) AS whole FROM q JOIN m USING (t) WHERE length(t) >= 6)", "SELECT item_id, node_id, whole FROM j QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY whole DESC, size DESC, node_id) = 1"),
 }
 _Z = reasoning._normal
+_LP = "pl AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {k}, [{', '.join(repr(float(x)) for x in p)}])" for t, table_ in enumerate(np.random.RandomState(42).randn(8, 8, 64)) for k, p in enumerate(table_)) + ") AS p(tab, plane, p))"
 SQL |= {
     "reward_ema": sql(L, "k AS (SELECT context, list({'m': reward, 'v': CAST(1.0 AS DOUBLE), 's': CAST(0.0 AS DOUBLE)} ORDER BY ts, event_id) AS xs FROM l GROUP BY 1)",
         "r AS (SELECT context, len(xs) AS n, list_reduce(xs, lambda a, x: {'m': 0.9 * a.m + 0.1 * x.m, 'v': 0.9 * a.v + 0.1 * power(x.m - (0.9 * a.m + 0.1 * x.m), 2), 's': a.s + (x.m - (0.9 * a.m + 0.1 * x.m)) / greatest(sqrt(0.9 * a.v + 0.1 * power(x.m - (0.9 * a.m + 0.1 * x.m), 2)), 1e-8)}) AS z FROM k)",
@@ -189,3 +190,8 @@ SQL |= {
         "t AS (SELECT dim, least(greatest(mu + 0.02 * step - 0.001 * (mu + 0.02 * step - mu), low), high) AS mu, low, high FROM th JOIN d USING (dim))",
         f"SELECT trial AS proposal, dim, round(least(greatest(mu + 0.01 * 0.9 * {_Z('1', 'trial', 'dim')}, low), high), 6) AS value FROM t, range(4) r(trial)"),
 }
+SQL["analogy_leaps"] = sql(E, W.N, W.S, W.A, _LP, "lv AS (SELECT node_id, coalesce(vector, embedding) AS v FROM node_embeddings WHERE len(coalesce(vector, embedding)) = 64 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY saved_at DESC NULLS LAST, emb_id DESC) = 1)",
+    "vv AS (SELECT node_id AS node, CAST(v AS DOUBLE[]) AS v FROM lv WHERE NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR isnan(x))))", f"bu AS (SELECT node, tab, sum(CASE WHEN {reasoning._DOT.format('p', 'v')} > 0 THEN 1 << plane ELSE 0 END) AS bucket FROM vv, pl GROUP BY 1, 2)",
+    "pa AS (SELECT DISTINCT query_id, y.node AS seed, x.node FROM bu x JOIN bu y USING (tab, bucket) JOIN s ON s.node = y.node WHERE x.node <> y.node)", "sc AS (SELECT query_id, seed, pa.node, round(coalesce(list_cosine_similarity(x.v, y.v), 0), 6) AS cosine FROM pa JOIN vv x ON x.node = pa.node JOIN vv y ON y.node = seed)",
+    "ne AS (SELECT DISTINCT node, other FROM a WHERE confidence >= 0.5)", "de AS (SELECT node, count(*) AS d FROM ne GROUP BY 1)", "jk AS (SELECT seed, sc.node, count(*) AS k FROM (SELECT DISTINCT seed, node FROM sc WHERE cosine >= 0.3) sc JOIN ne x ON x.node = seed JOIN ne y ON y.node = sc.node AND x.other = y.other GROUP BY 1, 2)",
+    "ja AS (SELECT seed, jk.node, k / (x.d + y.d - k) AS jaccard FROM jk JOIN de x ON x.node = seed JOIN de y ON y.node = jk.node)", "SELECT query_id, seed, sc.node, cosine, round(jaccard, 6) AS jaccard FROM sc JOIN ja USING (seed, node) WHERE cosine >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, sc.node) <= 5")

@@ -106,7 +106,8 @@ def gate_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _resonance(spark: SparkSession, sf: str, steps: int) -> DataFrame:
-    return R.resonate(W.edges(spark, sf), W.seeds(spark, sf), Resonance(steps=steps))
+    e = cut(W.edges(spark, sf))
+    return R.resonate(e, W.seeds(spark, sf, e=e), Resonance(steps=steps))
 
 
 def resonance_k2(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +204,8 @@ def cumulative_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def _walks(spark: SparkSession, sf: str, plan: list[int] = PLAN) -> DataFrame:
     """Walks from the best seed over all edges, turned ones too, with the nodes' own activations."""
-    n, s, edges = W.nodes(spark, sf), cut(W.seeds(spark, sf)), cut(W.edges(spark, sf))
+    n, edges = W.nodes(spark, sf), cut(W.edges(spark, sf))
+    s = cut(W.seeds(spark, sf, e=edges))
     reach = G.bfs(edges, n, s, 2, 0.3)
     act = reach.join(n.select(c("node_id").alias("node"), "activation"), "node").select("query_id", "node", "activation")
     near = G.inside(edges, act.select(c("node").alias("node_id")).distinct())
@@ -218,7 +220,8 @@ def walk_argmax(spark: SparkSession, sf: str) -> DataFrame:
 
 def walk_restart(spark: SparkSession, sf: str) -> DataFrame:
     """Walks along directed edges only, which begin again elsewhere where they get stuck."""
-    n, s, edges = W.nodes(spark, sf), cut(W.seeds(spark, sf)), cut(W.edges(spark, sf))
+    n, edges = W.nodes(spark, sf), cut(W.edges(spark, sf))
+    s = cut(W.seeds(spark, sf, e=edges))
     act = cut(G.bfs(edges, n, s, 1, 0.3).join(n.select(c("node_id").alias("node"), "activation"), "node").select("query_id", "node", "activation"))
     sub = R.subgraph_edges(G.inside(edges, act.select(c("node").alias("node_id")).distinct()), act)
     w = K.walk(sub, K.start_nodes(act, s), PLAN, others=act)
@@ -348,7 +351,8 @@ def graph_to_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def _walk_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Walks with path, labels and text; the edges that they go along; activations."""
-    edges, seeds = cut(W.edges(spark, sf)), cut(W.seeds(spark, sf))  # each is read several times
+    edges = cut(W.edges(spark, sf))  # read several times
+    seeds = cut(W.seeds(spark, sf, e=edges))
     act = R.with_seeds(R.resonate(edges, seeds), seeds)
     near = G.inside(edges, act.select(c("node").alias("node_id")).distinct())  # before the edges are turned: far fewer rows
     sub = cut(R.subgraph_edges(G.reverse_union(near), act))
@@ -523,8 +527,11 @@ _FULL = [E, N, S, A, _RB, _M, _S0, *[x for k in (1, 2, 3, 4) for x in _step(k)],
 _CONF = "CASE WHEN len(confs) = 0 THEN 1.0 WHEN list_min(confs) <= 0 THEN 0.0 ELSE exp(list_avg(list_transform(confs, lambda x: ln(nullif(x, 0))))) END"
 _PLANES = np.random.RandomState(42).randn(8, 12, 64)
 _BUCKET = "pl AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {k}, [{', '.join(repr(float(x)) for x in _PLANES[t, k])}])" for t in range(8) for k in range(12)) + ") AS p(tab, plane, p))"
+_PAIRS = f"np AS (SELECT a.node AS a, b.node AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.node < b.node AND list_cosine_similarity(a.v, b.v) >= {NEAR})"
 _NEAREST = "(SELECT query_id, dst, max(activation) AS activation, max(confidence) AS confidence, max(last_used) AS recency FROM e JOIN s ON src = s.node JOIN n ON dst = n.node_id GROUP BY 1, 2)"
 SQL |= {
+    "near_dup_pairs": sql(W.V, _PAIRS, "SELECT a, b, round(s, 6) AS cosine FROM np"),
+    "near_dup_components": sql("RECURSIVE " + W.V, _PAIRS, "b AS (SELECT a AS u, b AS w FROM np UNION ALL SELECT b, a FROM np)", "r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.w, r.root FROM r JOIN b ON r.node = b.u WHERE b.w > r.root)", "SELECT node, min(root) AS component FROM r GROUP BY 1"),
     "tier_two": sql(*_TWO, "SELECT query_id, count(*) AS n_active, round(sum(activation), 3) AS total FROM u3 GROUP BY 1"),
     "tier_accept": sql(*_TWO, *_energy("t1", "ea1"), *_energy("u3", "eb1"), "q AS (SELECT a.query_id, a.energy AS e1, b.energy AS e2, CASE WHEN a.energy > 0.4 * k THEN 1 ELSE 2 END AS t FROM ea1 a LEFT JOIN eb1 b USING (query_id) JOIN (SELECT query_id, count(*) AS k FROM s GROUP BY 1) USING (query_id))",
         "SELECT query_id, round(CASE WHEN t = 2 AND e2 >= e1 + 0.2 THEN e2 ELSE e1 END, 3) AS energy, CASE WHEN t = 2 AND e2 >= e1 + 0.2 THEN 2 ELSE 1 END AS tier FROM q"),

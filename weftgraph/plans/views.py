@@ -18,9 +18,9 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.clean_edges(table(spark, sf, "edges"))
 
 
-def seeds(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
-    """One query a node type (in lower case), from its k most active nodes that have an edge."""
-    linked = edges(spark, sf).select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+def seeds(spark: SparkSession, sf: str, k: int = 3, e: DataFrame | None = None) -> DataFrame:
+    """One query a node type (in lower case), from its k most active nodes that have an edge (``e``: the edges, if they are at hand)."""
+    linked = (edges(spark, sf) if e is None else e).select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     n = nodes(spark, sf).filter("node_type is not null").join(linked, "node_id", "left_semi")
     w = Window.partitionBy("query_id").orderBy(c("activation").desc(), "node_id")
     return n.select(F.lower("node_type").alias("query_id"), "node_id", "activation").withColumn("rn", F.row_number().over(w)).filter(c("rn") <= k).select("query_id", c("node_id").alias("node"))
