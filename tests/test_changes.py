@@ -158,3 +158,41 @@ def test_extremes_of_cosines(spark):
     off = s[~np.eye(50, dtype=bool)]
     assert np.isclose(r.largest, off.max()) and np.isclose(r.smallest, off.min())
     assert tuple(vectors.cosine_extremes(d.limit(1), 6).first()) == (None, None)
+
+
+def test_networks_go_on_learning():
+    from weftgraph.operators import training as M
+
+    rng = np.random.default_rng(0)
+    z, y = rng.normal(size=(5, 3)), np.array([0, 1, 2, 0, 1])
+
+    def loss(z, focal):
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        own = p[np.arange(5), y]
+        return float((-((1 - own) ** focal) * np.log(own)).sum())
+
+    for focal in (0.0, 2.0):
+        want = np.zeros_like(z)
+        for i in range(5):
+            for j in range(3):
+                d = np.zeros_like(z)
+                d[i, j] = 1e-6
+                want[i, j] = (loss(z + d, focal) - loss(z - d, focal)) / 2e-6
+        assert np.allclose(M.slopes(z, y, focal), want, atol=1e-5)
+    centre = rng.normal(size=(5, 6)) * 4
+    y = rng.integers(0, 3, 600)
+    x = centre[y] + rng.normal(size=(600, 6))
+    m = M.fit_mlp(x, y, 3, (16,), 20, focal=1.0, clip=1.0, cosine=True)
+    assert (m.logits(x).argmax(axis=1) == y).mean() > 0.9
+    y2 = rng.integers(3, 5, 400)
+    x2 = centre[y2] + rng.normal(size=(400, 6))
+    both, labels = np.concatenate([x[:200], x2]), np.concatenate([y[:200], y2])
+    more = M.fit_mlp(both, labels, 5, (16,), 30, start=m, settle=0.01)
+    assert m.weights[-1].shape[1] == 3 and (more.logits(both).argmax(axis=1) == labels).mean() > 0.9
+
+
+def test_sentences_keep_abbreviations_and_decimals(spark):
+    from weftgraph.operators import extract
+
+    d = spark.createDataFrame([(1, "Dr. J. Reed paid 3.50 today. He left! Why?  No. 7 stays.\nEnd"), (2, None), (3, "")], "doc_id long, text string")
+    assert [r.sentence for r in extract.safe_sentences(d).orderBy("doc_id", "sent_idx").collect()] == ["Dr. J. Reed paid 3.50 today.", "He left!", "Why?", "No. 7 stays.", "End"]

@@ -72,6 +72,11 @@ def low_confidence(edges: DataFrame, p: Learning = Learning()) -> DataFrame:
     return edges.filter(c("confidence") < p.low_confidence).withColumn("below_by", p.low_confidence - c("confidence"))
 
 
+def failed(template: Column, walk_confidence: Column, plan_confidence: Column, least: float = 0.3) -> Column:
+    """Whether an answer counts as failed: no template fitted, else the walk was doubtful, else the plan was."""
+    return template.isNull() | (walk_confidence < least) | (plan_confidence < least)
+
+
 def weak_entities(queries: DataFrame, k: int) -> DataFrame:
     """entity, failures: entities of failed queries (entity, failed), most failures first."""
     g = queries.filter("failed").groupBy(F.lower("entity").alias("entity")).agg(F.count("*").alias("failures"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftgraph import functions as X
-from weftgraph.operators import evaluate as Q, kg as T, plan as P, registry as Y, rewards as B, walk as K
+from weftgraph.operators import decode as D, evaluate as Q, extract, graph as G, kg as T, learning as H, plan as P, registry as Y, rewards as B, training as M, walk as K
 from weftgraph.plans import building, learning, reasoning, views as W
 from weftgraph.plans.views import E, L, N, S, V, sql
 from weftgraph.session import cut, table
@@ -162,8 +162,6 @@ def question_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 def kept_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences worth parsing, by kind of document: those of ten characters or more, and shorter ones that name something."""
-    from weftgraph.operators import extract
-
     d = table(spark, sf, "documents").select("doc_id", "text", "doc_kind")
     s = extract.sentences(d.select("doc_id", "text")).join(d.select("doc_id", "doc_kind"), "doc_id")
     keep = (F.length("sentence") >= 10) | c("sentence").rlike("[A-Z][a-z]")
@@ -185,8 +183,6 @@ def walk_faults(spark: SparkSession, sf: str) -> DataFrame:
 
 def walk_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """What a text generator would be given for each walk."""
-    from weftgraph.operators import decode as D
-
     return reasoning._labels(spark, sf, reasoning.PLAN).select("query_id", D.prompt(c("labels"), c("relations"), F.array(*[F.lit(i) for i in reasoning.PLAN])).alias("prompt"))
 
 
@@ -197,8 +193,42 @@ def bias_table(spark: SparkSession, sf: str) -> DataFrame:
     return K.update_bias(spark.createDataFrame(rows, "intent int, relation string, b double"), new)
 
 
+def vector_additions(spark: SparkSession, sf: str) -> DataFrame:
+    """Cluster means put in as vectors: each takes the id of one that is nearly the same, or the next free one."""
+    v = W.vectors(spark, sf)
+    m = Y.best_matches(_centroids(spark, sf).select(c("canonical").alias("key"), "v"), v.select(c("node").alias("canonical"), "v"), 64)
+    top = v.agg(F.max("node")).first()[0] or 0
+    fresh = G.numbered(m.filter("cosine < 0.92").select("key"), ["key"], top + 1, "node_id")
+    return m.filter("cosine >= 0.92").select("key", c("canonical").cast("long").alias("node_id"), F.lit(False).alias("is_new")).unionByName(fresh.select("key", "node_id", F.lit(True).alias("is_new")))
+
+
+def walk_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every decision of the walks, step by step."""
+    return K.steps(reasoning._walks(spark, sf)).select("query_id", c("t").cast("long").alias("t"), "src", "dst", "relation", F.round("act_src", 6).alias("act_src"))
+
+
+def weak_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels on walks that count as failed: built, asked, and what was weak."""
+    x = cut(reasoning._labels(spark, sf, reasoning.PLAN))
+    w = reasoning._walks(spark, sf).select("query_id", K.walk_confidence(c("confidences")).alias("walk"))
+    bad = x.join(w, "query_id").filter(H.failed(D.render(F.array(F.lit(5)), c("labels"), c("relations")), c("walk"), F.lit(1.0), 0.6))
+    return H.weak_entities(bad.select(F.explode("labels").alias("entity"), F.lit(True).alias("failed")), 20)
+
+
+def safe_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of the documents, with abbreviations and decimals left whole, by kind."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "doc_kind")
+    s = extract.safe_sentences(d.select("doc_id", "text")).join(d.select("doc_id", "doc_kind"), "doc_id")
+    return s.groupBy("doc_kind").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("n_chars"))
+
+
+def cluster_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the vectors fall into five, ten and fifteen clusters."""
+    return M.silhouettes(W.vectors(spark, sf), (5, 10, 15))
+
+
 QUERIES = {f.__name__: f for f in (
-    entity_batch, registry_centroids, cluster_thresholds, registry_absorb, relation_registry, relation_groups, entity_resolution, total_rewards, walk_rewards, judged_vectors, extraction_prf, centroid_top_k, answer_ranking, qa_accuracy, kg_density,
+    vector_additions, walk_log, weak_labels, safe_sentences, cluster_choice, entity_batch, registry_centroids, cluster_thresholds, registry_absorb, relation_registry, relation_groups, entity_resolution, total_rewards, walk_rewards, judged_vectors, extraction_prf, centroid_top_k, answer_ranking, qa_accuracy, kg_density,
     uncertain_plans, rules_by_text, named_plans, question_entities, kept_sentences, subgraph_faults, walk_faults, walk_prompts, bias_table,
 )}
 _T, _F, _G = learning._T, learning._F, learning._G
@@ -208,7 +238,14 @@ _SAME = f"p.rel = tr.rel AND {_HOLDS.format('p.s', 'tr.s')} AND {_HOLDS.format('
 _RULES = "CASE WHEN nn <= 3 THEN '0' WHEN ca > 0 THEN '1,2,7' WHEN co > 0 THEN '4,1,7' WHEN nn >= 10 THEN '6,12,8' WHEN ac < 0.5 THEN '10,11' END"
 _NAMES = "[" + ", ".join(f"'{x}'" for x in P.INTENTS) + "]"
 _OUT = "({0} IS NULL OR isnan({0}) OR NOT {0} BETWEEN {1} AND {2})"
+_SHORT = "|".join(extract.SHORTENED)
 SQL = {
+    "vector_additions": sql(V, _CE, "x AS (SELECT CAST(ce.label AS VARCHAR) AS key, v.node, round(list_cosine_similarity(v.v, m), 6) AS s FROM v, ce)", "b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, CAST(node AS VARCHAR)) = 1)",
+        "SELECT key, node AS node_id, false AS is_new FROM b WHERE s >= 0.92 UNION ALL SELECT key, (SELECT max(node) FROM v) + row_number() OVER (ORDER BY key), true FROM b WHERE s < 0.92"),
+    "walk_log": sql(*reasoning._walk_sql(5), reasoning._STEPS, "SELECT query_id, t, src, dst, relation, round(act_src, 6) AS act_src FROM su"),
+    "weak_labels": sql(*reasoning._walk_sql(5), reasoning._LB, f"q AS (SELECT labels FROM w5 JOIN lb USING (query_id) WHERE {reasoning._rendered((5,))} IS NULL OR {reasoning._CONF} < 0.6)", "SELECT lower(x) AS entity, count(*) AS failures FROM (SELECT unnest(labels) AS x FROM q) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
+    "safe_sentences": sql(rf"h AS (SELECT doc_kind, string_split(regexp_replace(regexp_replace(text, '\b({_SHORT}|[A-Z])\.', '\1' || chr(1), 'g'), '([.!?]+)[ \t\n\r]+', '\1' || chr(10), 'g'), chr(10)) AS p FROM documents WHERE text IS NOT NULL)", f"s AS (SELECT doc_kind, {learning._strip("replace(x, chr(1), '.')")} AS x FROM (SELECT doc_kind, unnest(p) AS x FROM h))",
+        "SELECT doc_kind, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS n_chars FROM s WHERE x <> '' GROUP BY 1"),
     "entity_batch": sql(V, _CE, "x AS (SELECT v.node, CAST(ce.label AS VARCHAR) AS canonical, round(list_cosine_similarity(v.v, m), 6) AS s FROM v, ce)", "b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY s DESC, canonical) = 1)",
         "SELECT CAST(node AS VARCHAR) AS key, CASE WHEN s < 0.5 THEN CAST(node AS VARCHAR) ELSE canonical END AS canonical, s AS cosine, s < 0.5 AS is_new FROM b"),
     "registry_centroids": sql(V, _CE, "w AS (SELECT label, 0.15 * power(0.85, row_number() OVER (PARTITION BY label ORDER BY node DESC) - 1) AS w, v FROM v UNION ALL SELECT label, power(0.85, n), m FROM ce JOIN (SELECT label, count(*) AS n FROM v GROUP BY 1) USING (label))",
