@@ -196,3 +196,13 @@ def test_sentences_keep_abbreviations_and_decimals(spark):
 
     d = spark.createDataFrame([(1, "Dr. J. Reed paid 3.50 today. He left! Why?  No. 7 stays.\nEnd"), (2, None), (3, "")], "doc_id long, text string")
     assert [r.sentence for r in extract.safe_sentences(d).orderBy("doc_id", "sent_idx").collect()] == ["Dr. J. Reed paid 3.50 today.", "He left!", "Why?", "No. 7 stays.", "End"]
+
+
+def test_bounded_walks_are_the_same(spark):
+    rng = np.random.default_rng(3)
+    act = {q: rng.random(12).round(2).clip(0.02) for q in "abc"}
+    rows = [(q, int(s), int(t), r, float(rng.choice([0.5, 0.9])), float(rng.choice([0.5, 0.8])), float(act[q][s]), float(act[q][t])) for q in "abc" for s, t, r in {(int(x), int(y), str(z)) for x, y, z in zip(rng.integers(0, 12, 60), rng.integers(0, 12, 60), rng.choice(["is_a", "causes", "part_of"], 60))}]
+    e = spark.createDataFrame(rows, "query_id string, src long, dst long, relation string, strength double, confidence double, act_src double, act_dst double")
+    start = spark.createDataFrame([(q, 3, float(act[q][3])) for q in "abc"] + [("none", 1, 1.0), ("low", 1, 0.001)], "query_id string, node long, activation double")
+    got, want = ({r.query_id: tuple(r[1:]) for r in f(e, start, [1, 2, 7]).select("query_id", "path", "relations", "activations", "confidences").collect()} for f in (K.walk_bounded, K.walk))
+    assert got == want and set(got) == {"a", "b", "c", "none"}

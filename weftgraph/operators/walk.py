@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftgraph.params import INTENT_BIAS, Walk
@@ -75,6 +77,43 @@ def walk(sub: DataFrame, start: DataFrame, plan: list[int], p: Walk = Walk(), ot
     return state.drop("seen")
 
 
+def walk_bounded(sub: DataFrame, start: DataFrame, plan: list[int], p: Walk = Walk()) -> DataFrame:
+    """As ``walk``, for subgraphs whose size a gate bounds (top_k nodes a query): each query's edges come together once and all steps are taken there, in one shuffle."""
+    kind = start.schema["query_id"].dataType.simpleString()
+    names = ["query_id", "src", "dst", "relation", "strength", "confidence", "act"]
+    rows = sub.filter(c("act_dst") >= p.min_activation).select(*names[:6], c("act_dst").alias("act"))
+    begin = start.filter(c("activation") >= p.min_activation).select("query_id", c("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("string").alias("relation"), *[F.lit(None).cast("double").alias(k) for k in names[4:6]], c("activation").alias("act"))
+
+    def bias(intent: int, relation: str) -> float:
+        own = INTENT_BIAS.get(intent, {})
+        return own.get(relation, own.get("default", 1.0))
+
+    def run(t: pa.Table) -> pa.Table:
+        col = {k: np.asarray(t.column(k).to_numpy()) for k in ("src", "act", "strength", "confidence")}
+        first = np.asarray(t.column("dst").is_null())
+        if not first.any():
+            return t.select(["query_id"]).slice(0, 0).append_column("path", pa.array([], pa.list_(pa.int64()))).append_column("relations", pa.array([], pa.list_(pa.string()))).append_column("activations", pa.array([], pa.list_(pa.float64()))).append_column("confidences", pa.array([], pa.list_(pa.float64())))
+        dst, relation = np.asarray(t.column("dst").combine_chunks().fill_null(-1)), np.array(t.column("relation").to_pylist(), dtype=object)
+        at = int(np.flatnonzero(first)[0])
+        path, relations, activations, confidences = [int(col["src"][at])], [], [float(col["act"][at])], []
+        for step in range(p.max_steps):
+            go = np.flatnonzero(~first & (col["src"] == path[-1]) & ~np.isin(dst, path))
+            if not len(go):
+                break
+            intent = plan[min(step, len(plan) - 1)]
+            score = col["strength"][go] * col["confidence"][go] * col["act"][go] * np.array([bias(intent, r) for r in relation[go]])
+            k = min(range(len(go)), key=lambda i: (-round(float(score[i]), 12), int(dst[go[i]]), relation[go[i]]))
+            e = go[k]
+            path.append(int(dst[e]))
+            relations.append(relation[e])
+            activations.append(float(col["act"][e]))
+            confidences.append(float(col["confidence"][e]))
+        lists = {"path": ([path], pa.int64()), "relations": ([relations], pa.string()), "activations": ([activations], pa.float64()), "confidences": ([confidences], pa.float64())}
+        return pa.table({"query_id": t.column("query_id").slice(0, 1)} | {k: pa.array(v, pa.list_(kind)) for k, (v, kind) in lists.items()})
+
+    return rows.unionByName(begin).groupBy("query_id").applyInArrow(run, f"query_id {kind}, path array<long>, relations array<string>, activations array<double>, confidences array<double>")
+
+
 def boost(edges: DataFrame, similarity: DataFrame, floor: float = 0.15) -> DataFrame:
     """Edges with their strength raised by how similar their relation and target are to the query: similarity has (query_id, dst, relation, rel_sim, tgt_sim). Strength may pass 1."""
     over = lambda x: F.greatest(F.lit(0.0), c(x) - floor)

@@ -209,9 +209,9 @@ def walk_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def weak_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels on walks that count as failed: built, asked, and what was weak."""
-    x = cut(reasoning._labels(spark, sf, reasoning.PLAN))
-    w = reasoning._walks(spark, sf).select("query_id", K.walk_confidence(c("confidences")).alias("walk"))
-    bad = x.join(w, "query_id").filter(H.failed(D.render(F.array(F.lit(5)), c("labels"), c("relations")), c("walk"), F.lit(1.0), 0.6))
+    walks = reasoning._walks(spark, sf)
+    w = walks.select("query_id", K.walk_confidence(c("confidences")).alias("walk"))
+    bad = reasoning._labels(spark, sf, reasoning.PLAN, walks).join(w, "query_id").filter(H.failed(D.render(F.array(F.lit(5)), c("labels"), c("relations")), c("walk"), F.lit(1.0), 0.95))
     return H.weak_entities(bad.select(F.explode("labels").alias("entity"), F.lit(True).alias("failed")), 20)
 
 
@@ -243,7 +243,7 @@ SQL = {
     "vector_additions": sql(V, _CE, "x AS (SELECT CAST(ce.label AS VARCHAR) AS key, v.node, round(list_cosine_similarity(v.v, m), 6) AS s FROM v, ce)", "b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, CAST(node AS VARCHAR)) = 1)",
         "SELECT key, node AS node_id, false AS is_new FROM b WHERE s >= 0.92 UNION ALL SELECT key, (SELECT max(node) FROM v) + row_number() OVER (ORDER BY key), true FROM b WHERE s < 0.92"),
     "walk_log": sql(*reasoning._walk_sql(5), reasoning._STEPS, "SELECT query_id, t, src, dst, relation, round(act_src, 6) AS act_src FROM su"),
-    "weak_labels": sql(*reasoning._walk_sql(5), reasoning._LB, f"q AS (SELECT labels FROM w5 JOIN lb USING (query_id) WHERE {reasoning._rendered((5,))} IS NULL OR {reasoning._CONF} < 0.6)", "SELECT lower(x) AS entity, count(*) AS failures FROM (SELECT unnest(labels) AS x FROM q) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
+    "weak_labels": sql(*reasoning._walk_sql(5), reasoning._LB, f"q AS (SELECT labels FROM w5 JOIN lb USING (query_id) WHERE {reasoning._rendered((5,))} IS NULL OR {reasoning._CONF} < 0.95)", "SELECT lower(x) AS entity, count(*) AS failures FROM (SELECT unnest(labels) AS x FROM q) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "safe_sentences": sql(rf"h AS (SELECT doc_kind, string_split(regexp_replace(regexp_replace(text, '\b({_SHORT}|[A-Z])\.', '\1' || chr(1), 'g'), '([.!?]+)[ \t\n\r]+', '\1' || chr(10), 'g'), chr(10)) AS p FROM documents WHERE text IS NOT NULL)", f"s AS (SELECT doc_kind, {learning._strip("replace(x, chr(1), '.')")} AS x FROM (SELECT doc_kind, unnest(p) AS x FROM h))",
         "SELECT doc_kind, count(*) AS n, CAST(sum(length(x)) AS BIGINT) AS n_chars FROM s WHERE x <> '' GROUP BY 1"),
     "entity_batch": sql(V, _CE, "x AS (SELECT v.node, CAST(ce.label AS VARCHAR) AS canonical, round(list_cosine_similarity(v.v, m), 6) AS s FROM v, ce)", "b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY node ORDER BY s DESC, canonical) = 1)",

@@ -284,8 +284,8 @@ def beam_plan(spark: SparkSession, sf: str) -> DataFrame:
     return P.beam_plans(q).select("query_id", F.array_join(F.transform("intents", lambda x: x.cast("string")), ",").alias("intents"), F.round("plan_confidence", 6).alias("plan_confidence"))
 
 
-def _labels(spark: SparkSession, sf: str, plan: list[int]) -> DataFrame:
-    w = _walks(spark, sf, plan)
+def _labels(spark: SparkSession, sf: str, plan: list[int], w: DataFrame | None = None) -> DataFrame:
+    w = _walks(spark, sf, plan) if w is None else w
     n = W.nodes(spark, sf).select(c("node_id").alias("node"), F.coalesce("label", F.concat(F.lit("node_"), c("node_id").cast("string"))).alias("label"))
     long = w.select("query_id", "relations", F.posexplode("path").alias("i", "node")).join(n, "node", "left").withColumn("label", F.coalesce("label", F.concat(F.lit("node_"), c("node").cast("string"))))
     return long.groupBy("query_id", "relations").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]).alias("labels"))
@@ -356,7 +356,7 @@ def _walk_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     act = R.with_seeds(R.resonate(edges, seeds), seeds)
     near = G.inside(edges, act.select(c("node").alias("node_id")).distinct())  # before the edges are turned: far fewer rows
     sub = cut(R.subgraph_edges(G.reverse_union(near), act))
-    w = K.walk(sub, K.start_nodes(act, seeds), PLAN)
+    w = cut(K.walk_bounded(sub, K.start_nodes(act, seeds), PLAN))
     n = W.nodes(spark, sf).select(c("node_id").alias("node"), "label")
     long = w.select("query_id", "path", "relations", "confidences", F.posexplode("path").alias("i", "node")).join(n, "node", "left")
     label = F.coalesce("label", F.concat(F.lit("node_"), c("node").cast("string")))
