@@ -94,3 +94,35 @@ def test_near_duplicates_are_paired_and_merged(spark, monkeypatch):
     assert {tuple(r) for r in m.collect()} == {(1, 1), (2, 1), (3, 1)}
     got = G.remap(edges(spark, [(3, 4, "is_a", 0.5, 0.5), (1, 4, "is_a", 0.7, 0.4), (2, 3, "is_a", 0.5, 0.5)]), m)
     assert [(r.src, r.dst, r.strength, r.confidence, r.frequency) for r in got.collect()] == [(1, 4, 0.7, 0.5, 2)]
+
+
+def test_jaccard_of_a_hub_and_its_many_partners(spark):
+    """A hub's neighbours aren't listed once a partner: what is shuffled grows with the edges, and every kind of pair comes out right."""
+    hub, second, leaves = 0, 1, range(2, 3002)
+    rows = [(hub, i, "synonym", 1.0, 0.9) for i in leaves] + [(i, second, "is_a", 1.0, 0.9) for i in leaves if i % 2] + [(i + 1, i, "is_a", 1.0, 0.9) for i in leaves if i % 3 == 0] + [(hub, hub, "is_a", 1.0, 0.9), (second, 5, "is_a", 1.0, 0.1)]
+    e = spark.createDataFrame(rows, "src long, dst long, relation string, strength double, confidence double")
+    ask = [(hub, i) for i in leaves] + [(i, hub) for i in leaves] + [(hub, second), (second, hub), (hub, hub), (4, 6), (6, 4), (2, 99999), (99998, 99999), (hub, 99999)]
+    pairs = spark.createDataFrame(ask, "a long, b long")
+    near = {}
+    for s, d, _, _, q in rows:
+        if q >= 0.5:
+            near.setdefault(s, set()).add(d)
+            near.setdefault(d, set()).add(s)
+    jvm = spark.sparkContext._jsc.sc()
+
+    def written():
+        jvm.listenerBus().waitUntilEmpty(30_000)
+        return jvm.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before, usual = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        got = {(r.a, r.b): r.jaccard for r in G.jaccard(e, pairs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert written() - before < 5_000_000
+    want = {}
+    for a, b in ask:
+        x, y = near.get(a, set()), near.get(b, set())
+        want[a, b] = len(x & y) / len(x | y) if x | y else 0.0
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)

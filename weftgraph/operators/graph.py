@@ -221,13 +221,21 @@ def reverse_union(edges: DataFrame) -> DataFrame:
 
 
 def jaccard(edges: DataFrame, pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """a, b, jaccard: overlap of the neighbours over edges of at least ``least`` confidence, by counting common ones; 0 for two empty sets."""
-    n = adjacency(edges.filter(c("confidence") >= least)).select("node", "other").distinct()
+    """a, b, jaccard: overlap of the neighbours over edges of at least ``least`` confidence, by counting common ones; 0 for two empty sets.
+
+    Of each pair the node with fewer neighbours has them listed and looked up among the other's, so a hub's are listed only where it meets a larger one.
+    """
+    ends = F.array(F.struct(c("src").alias("node"), c("dst").alias("other")), F.struct(c("dst").alias("node"), c("src").alias("other")))  # one pass; a loop's two are one after distinct()
+    linked = edges.filter((c("confidence") >= least) & c("src").isNotNull() & c("dst").isNotNull())
+    n = linked.select(F.explode(ends).alias("x")).select("x.*").filter("node is not null and other is not null").distinct()  # as the joins would ask, so that all share one shuffle
     deg = n.groupBy("node").agg(F.count("*").alias("d"))
-    p = pairs.select("a", "b").distinct()
-    common = p.join(n.select(c("node").alias("a"), "other"), "a").join(n.select(c("node").alias("b"), "other"), ["b", "other"]).groupBy("a", "b").agg(F.count("*").alias("k"))
-    j = p.join(common, ["a", "b"], "left").join(deg.select(c("node").alias("a"), c("d").alias("da")), "a", "left").join(deg.select(c("node").alias("b"), c("d").alias("db")), "b", "left")
-    k, union = F.coalesce("k", F.lit(0)), F.coalesce("da", F.lit(0)) + F.coalesce("db", F.lit(0)) - F.coalesce("k", F.lit(0))
+    p = pairs.select("a", "b").distinct().join(deg.select(c("node").alias("a"), c("d").alias("da")), "a", "left").join(deg.select(c("node").alias("b"), c("d").alias("db")), "b", "left")
+    p = p.withColumns({"da": F.coalesce("da", F.lit(0)), "db": F.coalesce("db", F.lit(0))})
+    p = p.withColumns({"few": F.when(c("da") <= c("db"), c("a")).otherwise(c("b")), "many": F.when(c("da") <= c("db"), c("b")).otherwise(c("a"))})
+    listed = p.select("few", "many").distinct().join(n.select(c("node").alias("few"), "other"), "few")
+    common = listed.join(n.select(c("node").alias("many"), "other"), ["many", "other"]).groupBy("few", "many").agg(F.count("*").alias("k"))
+    j, k = p.join(common, ["few", "many"], "left"), F.coalesce("k", F.lit(0))
+    union = c("da") + c("db") - k
     return j.select("a", "b", F.when(union > 0, k / union).otherwise(0.0).alias("jaccard"))
 
 
