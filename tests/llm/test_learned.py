@@ -287,3 +287,46 @@ def test_two_edits_are_found_whatever_the_given_name_and_the_ends_of_the_key(spa
     triples = spark.createDataFrame([(i, x, None) for i, x in typed.items()], "triple_id long, source string, target string")
     got = {tuple(r) for r in names.link(nodes, triples, aliases).filter("ref_kind = 'source'").collect()}
     assert got == {(10, "source", 1), (10, "source", 2), (11, "source", 3), (10, "source", 5), (12, "source", 6), (12, "source", 7), (13, "source", 8)}
+
+
+def test_keys_that_only_share_a_segment_do_not_travel(spark):
+    """Chance pairs grow with the square of the keys; they are dropped where they meet, and every pair within two edits comes out, swaps across borders too."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("abdefgiklmnoprstuv"), n))
+    true = [f"kal{word(n)}" for n in rng.integers(5, 9, 1200)]
+    typed = [mistyped(rng, mistyped(rng, x)) for x in true[:60]]
+    # a swap across each border of segments, with another edit elsewhere
+    typed += ["lakovutidep", "kaolvutidex", "kaolvutideip", "kaolvtidep", "kalovtuidep", "xalovuitdep", "alovuitdep", "kzalovuitdep", "kaolvuitdep"]
+    keys = sorted({*true, "kalovutidep"})
+    df = lambda xs: spark.createDataFrame([("g", x) for x in xs], "grp string, key string")
+    jvm = spark.sparkContext._jsc.sc()
+
+    def written():
+        jvm.listenerBus().waitUntilEmpty(30_000)
+        return jvm.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    got = {(r.a, r.b) for r in names.segment_join(df([*keys, *typed]), df(keys), 2).collect()}
+    assert written() - before < 6_000_000
+    assert got >= {(x, "kalovutidep") for x in typed[60:] if plain_distance(x, "kalovutidep") <= 2} and len([x for x in typed[60:] if plain_distance(x, "kalovutidep") <= 2]) >= 7
+    assert {x for x in got if x[0] in typed} == {(a, b) for a in typed for b in keys if a != b and plain_distance(a, b) <= 2}
+
+
+def test_signatures_of_keys_within_an_edit_are_close():
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        a = "".join(rng.choice(list("abcklé\U0001f600"), rng.integers(2, 12)))
+        b = mistyped(rng, mistyped(rng, a) or "b")
+        k = plain_distance(a, b)
+        x, y = names.signatures([a, b]).tolist()
+        assert ((x ^ y) & (2**64 - 1)).bit_count() <= 2 * k - abs(len(a) - len(b))
+
+
+def test_words_are_corrected_alike_by_table_and_by_join(spark, monkeypatch):
+    aliases = spark.createDataFrame([("Bran", "Branertin", "given"), ("Hal", "Halomir", "given"), ("Fdn", "Foundation", "org_word")], "short_form string, full_form string, alias_kind string")
+    labels = ["Branertin Nojivfohud", "Branretin Nojivfohud", "Halomri Kozumtevar", "HALOMÍR Kozumtevar", "Lumifohudak Foundtion", "Lumifohudak Fuondation", "Halomi Bo", "Kozumtevar, Haloomir", "Dr. Xalomir", "", "?!", "Branertinn Halmoir Li"]
+    df = spark.createDataFrame([(x, True) for x in labels], "name string, is_entity boolean")
+    lex = spark.sparkContext.broadcast(names.lexicon(df.select("name"), aliases))
+    local = {tuple(r) for r in names.read_names(df, lex).collect()}
+    monkeypatch.setattr(names, "LOCAL_WORDS", 0)
+    assert local == {tuple(r) for r in names.read_names(df, lex).collect()} and ("Branretin Nojivfohud", "branertin") in {(r[0], r[7]) for r in local}

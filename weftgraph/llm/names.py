@@ -16,10 +16,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftgraph.operators.hotcold import salted_join
-from weftgraph.session import cut, shuffle_partitions
+from weftgraph.session import cut, free, shuffle_partitions
 
 c = F.col
 # Titles, and words that carry nothing in an organisation's name.
@@ -35,12 +36,16 @@ SLIPS = 10
 MOST_WORDS = 1_000_000
 #: Keys under LONG letters are too short for segments and are looked up by their deletions.
 LONG = 8
+#: Given names and words of organisations whose corrections each task looks up by itself, in a table of their deletions; beyond it they are joined.
+LOCAL_WORDS = 50_000
 #: Entries of one segment that a task looks through at most; a more frequent segment is dealt out.
 HOT_SEGMENT = 2_000
 
 
 def fold(s: str) -> str:
     """Lower case without accents and invisible characters."""
+    if s.isascii():
+        return s.lower()
     s = unicodedata.normalize("NFD", s)
     return "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf")).lower()
 
@@ -115,6 +120,8 @@ def within_all(a: list[str], b: list[str], k: np.ndarray) -> np.ndarray:
 
 def deletions(s: str, k: int) -> set[str]:
     """The string and all strings with up to k characters left out: two strings within k edits share one."""
+    if k == 1:
+        return {s, *[s[:i] + s[i + 1 :] for i in range(len(s))]}
     return {"".join(s[i] for i in range(len(s)) if i not in out) for m in range(min(k, len(s)) + 1) for out in combinations(range(len(s)), m)}
 
 
@@ -172,6 +179,22 @@ class Lexicon:
         """Words that may be typed-over given names or words of organisations."""
         return [w for w in self.words(name) if len(w) > 4 and w not in self.given and w not in self.org]
 
+    def corrections(self, names: list[str]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+        """The given names and the words of organisations within one edit of each unknown word of the names, as ``segment_join`` would find them."""
+        if not hasattr(self, "_near"):
+            self._near: dict[str, list[tuple[int, str]]] = {}
+            for i, known in enumerate((self.given, [g for g in self.org if len(g) > 4])):
+                for g in known:
+                    for x in deletions(g, 1) if len(g) > 1 else ():
+                        self._near.setdefault(x, []).append((i, g))
+        asked = [(w, i, g) for w in {w for name in names for w in self.unknown(name)} for i, g in sorted({x for left in deletions(w, 1) if left in self._near for x in self._near[left]})]
+        found = within_all([w for w, _, _ in asked], [g for _, _, g in asked], np.ones(len(asked), dtype=np.int64)) <= 1
+        out: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+        for (w, i, g), ok in zip(asked, found):
+            if ok:
+                out[i].setdefault(w, []).append(g)
+        return out
+
     def base(self, w: str) -> str:
         """A short form without its pet ending: kevvie and kevy give kev."""
         b = w[:-2] if w.endswith("ie") else w[:-1] if w[-1:] in "yo" else w
@@ -253,13 +276,17 @@ def _unknown(lexicon):
     return run
 
 
-def _read(lexicon):
+def _read(lexicon, local: bool):
+    """``local``: corrections are looked up here and not in the column ``fixes``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = lexicon.value
         for b in batches:
             got = []
-            for name, fixes in zip(b.column("name").to_pylist(), b.column("fixes").to_pylist()):
-                near: tuple[dict[str, list[str]], dict[str, list[str]]] = ({}, {})
+            given = b.column("name").to_pylist()
+            shared = x.corrections(given) if local else None
+            for name, fixes in zip(given, [None] * b.num_rows if local else b.column("fixes").to_pylist()):
+                near = shared or ({}, {})
                 for f in sorted(fixes or [], key=lambda f: f["b"]):
                     near[f["grp"] == "o"].setdefault(f["word"], []).append(f["b"])
                 got.append(x.read(name, *near))
@@ -278,62 +305,78 @@ def _read(lexicon):
 def read_names(names: DataFrame, lex) -> DataFrame:
     """name, is_entity, kind, key, plain, first, words, full of names (name, is_entity) that hold a key, typed-over given names and words of organisations read as such."""
     spark = names.sparkSession
+    schema = "name string, is_entity boolean, kind string, key string, plain string, first string, words string, full string"
+    if len(lex.value.given) + len(lex.value.org) <= LOCAL_WORDS:
+        return names.select("name", "is_entity").mapInArrow(_read(lex, True), schema)
     known = [("g", g) for g in sorted(lex.value.given)] + [("o", g) for g in sorted(lex.value.org) if len(g) > 4]
     unknown = cut(names.mapInArrow(_unknown(lex), "name string, word string"))
     asked = unknown.select("word").distinct().select(F.explode(F.array(F.lit("g"), F.lit("o"))).alias("grp"), c("word").alias("key"))
     near = segment_join(asked, spark.createDataFrame(known, "grp string, key string"), 1)
     fixes = unknown.join(near.select("grp", c("a").alias("word"), "b"), "word").groupBy("name").agg(F.collect_list(F.struct("word", "grp", "b")).alias("fixes"))
-    return names.join(fixes, "name", "left").select("name", "is_entity", "fixes").mapInArrow(_read(lex), "name string, is_entity boolean, kind string, key string, plain string, first string, words string, full string")
-
-
-def segments(s: str, k: int) -> list[tuple[int, str]]:
-    """(start, text) of k + 1 nearly equal segments."""
-    n = k + 1
-    base, extra = divmod(len(s), n)
-    out, at = [], 0
-    for i in range(n):
-        size = base + (i >= n - extra)
-        out.append((at, s[at : at + size]))
-        at += size
-    return out
+    return names.join(fixes, "name", "left").select("name", "is_entity", "fixes").mapInArrow(_read(lex, False), schema)
 
 
-def probes(s: str, k: int) -> list[tuple[int, int, str]]:
-    """(length, segment number, text) under which a key within k edits may be indexed.
+def segments(n: int, k: int) -> list[tuple[int, int]]:
+    """(start, end) of k + 1 nearly equal segments of n letters."""
+    base, extra = divmod(n, k + 1)
+    ends = np.cumsum([0] + [base + (i >= k + 1 - extra) for i in range(k + 1)]).tolist()
+    return list(zip(ends, ends[1:]))
 
-    Some segment i stands whole with at most i edits before it and k - i behind it, which bounds how far it can be shifted.
+
+def probes(n: int, k: int, least: int = 0) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(length, segment number, slices) of keys of n letters, under which a key of ``least`` letters or more within k edits is indexed.
+
+    Some segment i stands whole with at most i edits before it and k - i behind it, which bounds how far it can be shifted. Or else a swap
+    crosses a border and damages two: for k = 1 the swapped key itself is looked up, for k = 2 what the swap makes of the first
+    segment, if it crosses the first border and the other edit comes later, or of the last one, if it crosses the last border and the other comes before.
     """
-    out = set()
-    for length in range(max(k + 1, len(s) - k), len(s) + k + 1):
-        base, extra = divmod(length, k + 1)
-        delta = len(s) - length
-        at = 0
-        for i in range(k + 1):
-            size = base + (i >= k + 1 - extra)
+    out = []
+    for length in range(max(k + 1, n - k, least), n + k + 1):
+        places, delta = segments(length, k), n - length
+        for i, (at, end) in enumerate(places):
             low, high = max(-i, delta - (k - i)), min(i, delta + (k - i))
-            for start in range(max(0, at + low), min(len(s) - size, at + high) + 1):
-                out.add((length, i, s[start : start + size]))
-            at += size
-    return list(out)
+            out += [(length, i, [(start, start + end - at)]) for start in range(max(0, at + low), min(n - (end - at), at + high) + 1)]
+        if k == 1 and not delta:
+            h = places[1][0]
+            out.append((length, -1, [(0, h - 1), (h, h + 1), (h - 1, h), (h + 1, n)]))
+        if k == 2 and abs(delta) < 2:
+            h, g = places[1][0], places[2][0] + delta
+            if h < n:
+                out.append((length, 0, [(0, h - 1), (h, h + 1)]))
+            if 0 < g < n:
+                out.append((length, 2, [(g - 1, g), (g + 1, n)]))
+    return out
 
 
-def _index(k: int, probe: bool):
+def signatures(keys: list[str]) -> np.ndarray:
+    """64 bits a key: whether it has a letter of each of 32 classes, and whether it has two. An edit changes two of them at most, one that adds or drops a letter one, a swap none."""
+    size = np.array([len(x) for x in keys], dtype=np.int64)
+    flat = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    n = np.bincount(np.repeat(np.arange(len(keys)), size) * 32 + flat % 32, minlength=len(keys) * 32).reshape(len(keys), 32)
+    return np.packbits(np.concatenate([n > 0, n > 1], axis=1), axis=1).view(np.int64).ravel()
+
+
+def _index(k: int, probe: bool, least: int = 0):
+    """The places where keys are looked up or indexed, for all keys of one length in a batch at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for group, key in zip(b.column("grp").to_pylist(), b.column("key").to_pylist()):
-                if probe:
-                    rows += [(group, n, i, t, key) for n, i, t in probes(key, k)]
-                    if k == 1:
-                        # a swap across the border of the two halves leaves neither half whole
-                        h = segments(key, 1)[1][0]
-                        rows.append((group, len(key), -1, key[: h - 1] + key[h] + key[h - 1] + key[h + 1 :], key))
-                else:
-                    rows += [(group, len(key), i, t, key) for i, (_, t) in enumerate(segments(key, k))]
-                    if k == 1:
-                        rows.append((group, len(key), -1, key, key))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["grp", "len", "seg", "text", "key"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5_000):
+                b = batch.slice(at, 5_000)
+                size = pc.utf8_length(b.column("key")).to_numpy(zero_copy_only=False)
+                sig = signatures(b.column("key").to_pylist())
+                out: list[list] = [[], [], [], [], []]
+                for n in np.unique(size).tolist():
+                    rows = np.flatnonzero(size == n)
+                    grp, key, bits = b.column("grp").take(pa.array(rows)), b.column("key").take(pa.array(rows)), pa.array(sig[rows])
+                    where = probes(n, k, least) if probe else [(n, i, [x]) for i, x in enumerate(segments(n, k))] + [(n, -1, [(0, n)])] * (k == 1)
+                    for length, i, slices in where:
+                        parts = [pc.utf8_slice_codeunits(key, x, y) for x, y in slices if y > x]
+                        text = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, "")
+                        for col, v in zip(out, (grp, pa.array(np.full(len(rows), length * 4 + i + 1, dtype=np.int32)), text, key, bits)):
+                            col.append(v)
+                types = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(t) for x in col]) if col else pa.array([], t) for col, t in zip(out, types)], names=["grp", "slot", "text", "key", "sig"])
 
     return run
 
@@ -368,18 +411,19 @@ def dealt_join(probe: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
     return p.join(i, [*on, "__part"])
 
 
-def segment_join(keys: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """grp, a, b, dist: keys (grp, key) and the different targets of their group within ``k`` edits, swaps of neighbours counting one; both need k + 1 letters.
+def segment_join(keys: DataFrame, targets: DataFrame, k: int, least: int = 0) -> DataFrame:
+    """grp, a, b, dist: keys (grp, key) and the different targets of their group within ``k`` edits (1 or 2), swaps of neighbours counting one; both need k + 1 letters, targets ``least``.
 
-    A swap inside a segment leaves the others whole; one across the border of two is found, for k = 1, by probing the swapped key
-    itself, and for k = 2, where it damages two of three segments, by the third, or else with another edit not at all.
+    Chance pairs that share a segment grow with the square of the keys, so their letters are compared where they meet, by signatures, and only what passes travels on.
     """
-    schema = "grp string, len int, seg int, text string, key string"
     parts = shuffle_partitions(keys.sparkSession)  # a key gives many rows, so few keys are spread too
-    cuttable = lambda d: d.filter(F.length("key") > k).select("grp", "key").repartition(parts, "grp", "key").distinct()
-    index = cuttable(targets).mapInArrow(_index(k, False), schema).withColumnRenamed("key", "b")
-    probe = cuttable(keys).mapInArrow(_index(k, True), schema).withColumnRenamed("key", "a")
-    pairs = dealt_join(probe, index, ["grp", "len", "seg", "text"]).filter("a <> b").select("grp", "a", "b").distinct()
+    cuttable = lambda d, n: d.filter(F.length("key") >= n).select("grp", "key").repartition(parts, "grp", "key").distinct()
+    placed = lambda d, f, *names: d.mapInArrow(f, "grp string, slot int, text string, key string, sig long").select(F.xxhash64("grp", "slot", "text").alias("place"), *[c(x).alias(y) for x, y in zip(("grp", "key", "sig"), names)])
+    index = placed(cuttable(targets, max(k + 1, least)), _index(k, False), "grp_b", "b", "sig_b")
+    probe = placed(cuttable(keys, k + 1), _index(k, True, least), "grp", "a", "sig_a")
+    bits = F.bit_count(c("sig_a").bitwiseXOR(c("sig_b")))
+    alike = (bits <= 2 * k) & (bits <= 2 * k - F.abs(F.length("a") - F.length("b")))  # the first, cheaper one decides nearly all
+    pairs = dealt_join(probe, index, ["place"]).filter(alike & (c("grp") == c("grp_b")) & (c("a") != c("b"))).select("grp", "a", "b").distinct()
     return pairs.mapInArrow(_verify(k), "grp string, a string, b string, dist int")
 
 
@@ -429,20 +473,25 @@ def related(records: DataFrame) -> DataFrame:
 
     Edits are counted between the sounds of keys and, where one of them has a 'ph', between the keys with 'ph' left alone too.
     """
-    part = lambda tag, key, where: records.filter(where).select(F.concat("kind", F.lit(tag)).alias("grp"), F.col(key).alias("key"))
+    def keyed(*parts) -> DataFrame:
+        one = [records.filter(where).select(c("kind").alias("grp"), c(key).alias("key"), F.lit(1 << i).alias("bit")) for i, (key, where) in enumerate(parts)]
+        return cut(one[0].unionByName(one[1]).unionByName(one[2]).groupBy("grp", "key").agg(F.bit_or("bit").alias("bits")))
+
     ph = c("plain").contains("ph")
-    # keys with a 'ph' are few, so it is they that probe, entities' keys among the others' too
-    keys = cut(part("s", "key", F.lit(True)).unionByName(part("1", "plain", ph)).unionByName(part("2", "plain", ph & c("is_entity"))).distinct())
-    targets = cut(part("s", "key", c("is_entity")).unionByName(part("1", "plain", c("is_entity"))).unionByName(part("2", "plain", ~ph)).distinct())
-    size = F.length("key")
-    long, middle, little = size >= LONG, size.between(LONG, LONG + 1), size.between(6, LONG - 1)
-    near = segment_join(keys.filter(size >= 6), targets.filter(size >= 6), 1).unionByName(segment_join(keys.filter(long), targets.filter(long), 2)).unionByName(short_join(keys, targets))
-    # two edits between a short key and a longer one: the few short ones probe
-    near = near.unionByName(segment_join(keys.filter(little), targets.filter(middle), 2))
-    turned = segment_join(targets.filter(little), keys.filter(middle), 2)
-    near = near.unionByName(turned.select("grp", c("b").alias("a"), c("a").alias("b"), "dist"))
+    # the few probe: entities' keys among all; of keys with a 'ph', which are few, all among entities' and entities' among the others
+    few = keyed(("key", c("is_entity")), ("plain", ph), ("plain", ph & c("is_entity")))
+    many = keyed(("key", F.lit(True)), ("plain", c("is_entity")), ("plain", ~ph))
+    size, tag = F.length("key"), lambda d, x: d.select(F.concat("grp", F.lit(x)).alias("grp"), "key")
+    # two edits between a short key and a longer one: the short one probes, whichever side it is on
+    probing = tag(few.filter(size >= 6), "+").unionByName(tag(many.filter(size.between(6, LONG - 1)), "-"))
+    indexed = tag(many.filter(size >= LONG), "+").unionByName(tag(few.filter(size.between(LONG, LONG + 1)), "-"))
+    near = segment_join(probing, indexed, 2, LONG).unionByName(short_join(tag(few, "+"), tag(many, "+")))
+    turned = F.substring("grp", -1, 1) == "-"
+    near = near.select(F.substring("grp", 1, 1).alias("kind"), F.when(turned, c("a")).otherwise(c("b")).alias("a"), F.when(turned, c("b")).otherwise(c("a")).alias("b"), "dist")
+    bits = lambda d, x: d.select(c("grp").alias("kind"), c("key").alias(x), c("bits").alias(f"bits_{x}"))
+    near = near.join(bits(many, "a"), ["kind", "a"]).join(bits(few, "b"), ["kind", "b"]).filter(c("bits_a").bitwiseAND(c("bits_b")) != 0)
     bare = lambda x: F.replace(x, F.lit("ph"), F.lit("f"))
-    near = near.select(F.substring("grp", 1, 1).alias("kind"), bare(c("a")).alias("a"), bare(c("b")).alias("b"), "dist").filter("a <> b")
+    near = near.select("kind", bare(c("a")).alias("a"), bare(c("b")).alias("b"), "dist").filter("a <> b")
     return near.groupBy("kind", "a", "b").agg(F.min("dist").alias("dist"))
 
 
@@ -451,6 +500,7 @@ def roots(records: DataFrame) -> DataFrame:
     keys = records.groupBy("kind", "key").agg(F.countDistinct("name").alias("support"))
     keys = cut(keys)
     near = related(records)
+    free(records.sparkSession)
     both = near.unionByName(near.select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "dist")).distinct()
     ka, kb = keys.select("kind", F.col("key").alias("a"), F.col("support").alias("sa")), keys.select("kind", F.col("key").alias("b"), F.col("support").alias("sb"))
     up = both.join(ka, ["kind", "a"]).join(kb, ["kind", "b"]).filter("sb > sa or (sb = sa and b < a)")
@@ -462,6 +512,8 @@ def roots(records: DataFrame) -> DataFrame:
         if not parent.filter("on").limit(1).count():
             break
         parent = parent.drop("on")
+    del near, both, up
+    free(records.sparkSession)
     return keys.join(parent.select("kind", c("a").alias("key"), "p"), ["kind", "key"], "left").select("kind", "key", F.coalesce("p", "key").alias("root"))
 
 
@@ -496,9 +548,11 @@ def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """name, entity: for ``names`` (name, is_entity; distinct), the entity key of each name that can be read as one."""
     spark = names.sparkSession
     lex = spark.sparkContext.broadcast(lexicon(names.filter("is_entity").select("name"), aliases))
-    records = cut(read_names(names, lex))
+    records = cut(read_names(names, lex).drop("words"))
     root = roots(records)
-    r = cut(records.join(root, ["kind", "key"]))
+    r = cut(records.select("name", "kind", "key", "first", "full").join(root, ["kind", "key"]).drop("key"))
+    del records, root
+    free(spark)
     orgs = r.filter("kind = 'o'").select("name", F.concat(F.lit("o|"), "root").alias("entity"))
     people = r.filter("kind = 'p'")
     fulls = people.filter("full <> ''").select("root", "full").distinct()
@@ -532,8 +586,11 @@ def link(nodes: DataFrame, triples: DataFrame, aliases: DataFrame) -> DataFrame:
     t = triples.filter(F.col("triple_id").isNotNull()).groupBy("triple_id").agg(F.min(F.struct("source", "target")).alias("r")).select("triple_id", "r.source", "r.target")
     typed = t.select("triple_id", F.explode(F.array(*[F.struct(F.lit(f).alias("ref_kind"), F.col(f).alias("name")) for f in ("source", "target")])).alias("r")).select("triple_id", "r.ref_kind", "r.name").filter("name is not null")
     counts = cut(n.select(F.col("label").alias("name"), F.lit(1).alias("e"), F.lit(0).alias("k")).unionByName(typed.select("name", F.lit(0).alias("e"), F.lit(1).alias("k"))).groupBy("name").agg((F.max("e") > 0).alias("is_entity"), F.sum("k").alias("k"), F.sum("e").alias("e")))
+    free(nodes.sparkSession)
     entity = resolve(counts.select("name", "is_entity"), aliases)
-    known = cut(counts.join(entity, "name"))
+    known = cut(counts.join(entity, "name").drop("is_entity"))
+    del counts, entity
+    free(nodes.sparkSession)
     node_names = salted_join(n.withColumnRenamed("label", "name"), known.filter("e > 0").select("name", "entity", "e"), ["name"], "e")
     node_names = cut(node_names.filter(~F.col("entity").endswith("|??")))
     heads = node_names.groupBy("entity").agg(F.min(F.struct("node_id", "name")).alias("h"), F.count("*").alias("n")).select("entity", F.col("h.node_id").alias("entity_id"), F.col("h.name").alias("head"), "n")
